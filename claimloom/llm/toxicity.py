@@ -4,8 +4,8 @@ A word is a bag of its character n-grams, with marks at its ends, and of itself;
 A document is the mean of its words' vectors, and a two-class softmax on the mean gives the score. Both layers are learned together by
 minibatch Adagrad, so an unseen misspelling of an abusive word lies near it through the n-grams it kept.
 
-The model is fitted on the driver from at most `PER_CLASS` labelled rows of each class, chosen by a hash of their ids; that bound is
-the only sampling here. Scoring covers every whole text. As the model is linear past the embedding, a word's share of the two logits
+The model is fitted on the driver from at most `TOXIC_ROWS` and `CLEAN_ROWS` labelled rows of the two classes, chosen by a hash of their
+ids; that bound is the only sampling here. Scoring covers every whole text. As the model is linear past the embedding, a word's share of the two logits
 is one number each, so a task keeps these numbers for the distinct words it meets.
 
 Defined results: a null or empty text has no words and gets the model's score for a zero vector; repeated rows score alike; without
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import columns, slices, words_of
 
 #: Labelled rows of each class that the model is fitted on, at most.
-PER_CLASS = 1500
+TOXIC_ROWS, CLEAN_ROWS = 1500, 4500
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 18, 8, 3, 6
-EPOCHS, BATCH, RATE, CALM, GAIN, SEED = 8, 32, 1.0, 1e-6, 60.0, 2
+EPOCHS, BATCH, RATE, CALM, GAIN, SEED = 6, 32, 1.0, 1e-6, 60.0, 2
 THRESHOLD = 0.7
 #: Distinct words whose shares a task keeps; past it the table starts anew.
 CACHE_WORDS = 300_000
@@ -137,19 +137,19 @@ def remainder(key: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.encode(key.cast("string"), "utf-8")), F.lit(by))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of at most `per_class` rows of each class, none of them held out; the ids are chosen before any text moves."""
+def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> tuple[list[str | None], np.ndarray]:
+    """Texts and labels of at most `most` rows of classes 0 and 1, none of them held out; the ids are chosen before any text moves."""
     open_rows = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = [open_rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = by_hash[0].union(by_hash[1])  # at most 2 * per_class ids, so it can be broadcast
+    by_hash = [open_rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[k]) for k in (0, 1)]
+    chosen = by_hash[0].union(by_hash[1])  # at most sum(most) ids, so it can be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
     return [t if isinstance(t, str) else None for t in rows["text"]], rows["toxic"].to_numpy(np.int64)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, most: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS), threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`."""
-    texts, marks = sample(docs, labels, per_class)
+    texts, marks = sample(docs, labels, most)
     learned = len(set(marks.tolist())) == 2
     model = train(texts, marks) if learned else None
     shared = docs.sparkSession.sparkContext.broadcast((model.row_logits(), float(model.bias[1] - model.bias[0])) if model else None)
