@@ -64,15 +64,15 @@ def simhashes(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", kind: str = "long", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp): the column `key` as of the type `kind`, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
+            schema = pa.schema([batch.schema.field("doc_id"), ("fp", pa.int64())])
             yield columns(schema, doc_id=batch.column("doc_id"), fp=simhashes(batch.column("text"), shingle, seed).view(np.int64))
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def forest(fps: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +126,25 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, **options) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of `docs`."""
-    prints = checkpoint(fingerprints(docs, **options))
+    return grouped(checkpoint(fingerprints(docs, **options)), radius)
+
+
+def deduplicate(docs: DataFrame, *, radius: int = RADIUS, text: str = "text", **options) -> DataFrame:
+    """One row of each component, that with the least id (null last) and then the least hash of its text; all columns stay."""
+    ids = docs.select("doc_id", F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("text"))
+    prints = checkpoint(fingerprints(ids.select(F.struct("doc_id", "__hash").alias("both"), "text"), key="both", kind="struct<doc_id: bigint, __hash: bigint>", **options))
+    flat = prints.select(F.coalesce("doc_id.doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "doc_id.__hash", "fp")
+    named = grouped(flat, radius, "__hash")
+    best = named.groupBy("component_id", "root").agg(F.min(F.struct("doc_id", "__hash")).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.__hash").alias("__at"))
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__at", F.xxhash64(F.col(text)))
+    return rows.join(best, ["__id", "__at"], "left_semi").dropDuplicates(["__id", "__at"]).drop("__id", "__at")
+
+
+def grouped(prints: DataFrame, radius: int, *extra: str) -> DataFrame:
+    """The rows (doc_id, fp) with their fingerprint in hexadecimal digits and the least id of their component."""
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra, *(["root"] if extra else []))
