@@ -155,16 +155,17 @@ def repeated_segments(rows: DataFrame) -> DataFrame:
     """(rid, i, mask): segments with windows that occur twice or more in the corpus, with a bit for each such window."""
     spark = rows.sparkSession
     segments = _segments(rows)
-    shared = segments.groupBy("key").count().where("count > 1").select("key")
+    shared = checkpoint(segments.groupBy("key").count().where("count > 1").select("key"))  # else the join couldn't split a hot anchor
     met = checkpoint(segments.join(shared, "key", "left_semi"))
     distinct = met.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("rid", "i", "n")).alias("where"))
-    kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"))
-    distinct = checkpoint(distinct.join(kinds, "key").select("key", "seg", "times", "kinds", "where.*"))
-    total = distinct.where("kinds > 1").agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
-    asked = distinct.where("kinds > 1").groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"))).alias("want"))
+    distinct = checkpoint(distinct.select("key", "seg", "times", "where.*"))
+    kinds = checkpoint(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    varied = distinct.join(kinds, "key")
+    total = varied.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    asked = varied.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"))).alias("want"))
     one_each = rows.select("rid", "text").join(asked, "rid")
     words = _words(one_each)
-    hot = distinct.where(F.col("kinds") > HOT).select("key").distinct()
+    hot = kinds.where(F.col("kinds") > HOT).select("key")
     any_hot = bool(hot.take(1))
     if any_hot:
         words = checkpoint(words)
