@@ -16,6 +16,7 @@ next row is the first, and a single row's next row is itself; an empty table giv
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,8 +143,13 @@ def fingerprints_of(points: list[np.ndarray], after: list[np.ndarray] | None = N
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(part, guest, doc_id, text) in parts that are ranges of ids; each part ends with the row that follows it, marked as a guest."""
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    cuts = [int(c) for c in sorted(set(docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)))] if parts > 1 else []
+    wide = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    below = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+    literal = lambda values: F.array(*(F.lit(c) for c in values))
+    row = F.greatest(below(literal([x[0] for x in rows])) - 1, F.lit(0)) if rows else None  # first which row of cuts, then where in it
+    part = row * wide + below(F.get(F.array(*map(literal, rows)), row)) if rows else F.lit(0)
     dealt = docs.select(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).alias("part"), "doc_id", "text")
     heads = [(r["part"], r["null_"], r["least"]) for r in dealt.groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("null_")).orderBy("part").collect()]  # one row for each part
     if not heads:
@@ -164,7 +170,7 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = partitions(docs.sparkSession)
-    dealt = with_next(rows, parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    dealt = with_next(rows, 4 * parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
