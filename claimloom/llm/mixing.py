@@ -58,8 +58,8 @@ def rates(docs: DataFrame, *, weights: Mapping[str | None, float] | None = None,
         table = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, w double")
         wanted = sizes.join(table, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "size", F.coalesce("w", F.lit(0.0)).alias("w"))
     wanted = checkpoint(wanted)
-    whole = wanted.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
-    return wanted.join(F.broadcast(whole)).select("source", F.coalesce(F.try_divide(F.col("w") / F.col("size") * F.col("all_size"), F.col("all_w")), F.lit(0.0)).alias("rate"))
+    whole = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    return wanted.select("source", F.coalesce(F.try_divide(F.col("w") / F.col("size") * F.lit(whole["size"]), F.lit(whole["w"])), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", seed: int = SEED, **options) -> DataFrame:
