@@ -154,12 +154,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     heads = [(r["part"], r["null_"], r["least"]) for r in dealt.groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("null_")).orderBy("part").collect()]  # one row for each part
     if not heads:
         return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text")
-    before = [heads[i - 1][0] for i in range(len(heads))]
-    guests = None
-    for (own, null_, least), to in zip(heads, before):
-        is_head = F.col("doc_id").isNull() if null_ else F.col("doc_id") == least
-        guests = F.when(is_head, F.lit(to)).otherwise(guests) if guests is not None else F.when(is_head, F.lit(to))
-    first = docs.select(guests.alias("part"), "doc_id", "text").where(F.col("part").isNotNull()).groupBy("part", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    table = docs.sparkSession.createDataFrame([(heads[i - 1][0], None if null_ else least) for i, (_, null_, least) in enumerate(heads)], "part int, head long")
+    first = docs.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text").union(first.select("part", F.lit(True), "doc_id", "text"))
 
 
