@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,20 +30,32 @@ END_ID = 2
 #: Pieces that are packed together, on average.
 GROUP_SIZE = 4096
 #: Entries of a worker's token cache; past it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Chunks of letters that are encoded in one call.
+TOGETHER = 4096
+#: Letters whose composed and lower-case forms are single letters, and marks between such a letter and white space.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+MARKS = r"([a-zß-öø-ÿ])([.,;:!?#$%&*)]+)([ \t-\r]|$)"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tie int"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ChunkTokenizer:
-    """Token ids of chunks between white space, which the tokenizer never joins; each distinct chunk is encoded once per cache."""
+    """Token ids of chunks between white space, which the tokenizer never joins; each distinct chunk is encoded once per cache.
+
+    The tokenizer lower-cases and parts letters from marks by itself, so doing both beforehand changes no id and leaves fewer distinct
+    chunks. Texts with the opening of a special token are left as they are.
+    """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,23 +63,38 @@ class ChunkTokenizer:
         self.ids, self.starts, self.lengths = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
         self.used = 0
 
-    def add(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total, n = int(lengths.sum()), len(self.index)
-        while self.used + total > len(self.ids):
+    def keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + len(words) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
+        self.ids[self.used : self.used + len(ids)] = ids
         self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(words)] = lengths
         self.index.update(zip(words, range(n, n + len(words))))
-        self.used += total
+        self.used += len(ids)
+
+    def add(self, words: list[str]) -> None:
+        """Encode new chunks: those of letters alone many at a time, as each ends with a token that only ends a word."""
+        letters, others = [], []
+        for w in words:
+            (letters if LETTERS(w) else others).append(w)
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids])
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't end each word with a token of its own")
+            self.keep(some, ids, np.diff(ends, prepend=-1))
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.keep(others, np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and each text's start among them (one more entry than texts)."""
-        lists = pc.split_pattern_regex(texts, r"[ \n\t\r]+")
+        eased = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, eased))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.index) > self.most:
