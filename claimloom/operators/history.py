@@ -27,6 +27,16 @@ def duplicate_bills(scans: DataFrame) -> DataFrame:
     return met.groupBy(F.col("a.scan_id").alias("scan_id")).agg(F.min_by(F.col("b.scan_id"), F.struct(F.col("b.created_on"), F.col("b.scan_id"))).alias("first_scan_id"), F.count("*").alias("earlier_scans"))
 
 
+def line_overlap(scans: DataFrame, lines: DataFrame, least: float = 0.80) -> DataFrame:
+    """Pairs of scans of one pharmacy and day whose sets of names overlap by `least` of the larger set; the earlier scan comes first."""
+    sets = lines.groupBy("scan_id").agg(F.array_sort(F.collect_set("drug_name")).alias("names"))
+    held = scans.where(F.col("bill_date").isNotNull()).select("scan_id", "pharmacy_name", "bill_date").join(sets, "scan_id")
+    a, b = held.alias("a"), held.alias("b")
+    met = a.join(b, (F.col("a.pharmacy_name") == F.col("b.pharmacy_name")) & (F.col("a.bill_date") == F.col("b.bill_date")) & (F.col("a.scan_id") < F.col("b.scan_id")))
+    share = F.size(F.array_intersect("a.names", "b.names")) / F.greatest(F.size("a.names"), F.size("b.names"))
+    return met.select(F.col("a.scan_id").alias("first_scan_id"), F.col("b.scan_id").alias("scan_id"), F.round(share, 4).alias("overlap")).where(F.col("overlap") >= least)
+
+
 def licence_conflicts(scans: DataFrame) -> DataFrame:
     """Pharmacies seen with two or more different licence numbers."""
     key = F.lower(F.regexp_replace("licence_no", r"[^\p{L}\p{N}]", ""))

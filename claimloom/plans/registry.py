@@ -16,7 +16,7 @@ WITH = f"WITH bill AS ({plain(BILL_ITEMS)}), rx AS ({plain(RX_ITEMS)}), scans AS
 SAME_PLACE = "pairs AS (SELECT r.scan_id, r.item_id AS rx_item, b.item_id AS bill_item FROM rx r JOIN bill b ON r.scan_id = b.scan_id AND r.ordinal = b.ordinal)"
 
 
-def _same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+def same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, b = rx_items(spark, sf_dir).alias("r"), bill_items(spark, sf_dir).alias("b")
     return r.join(b, (F.col("r.scan_id") == F.col("b.scan_id")) & (F.col("r.ordinal") == F.col("b.ordinal"))).select("r.scan_id", F.col("r.item_id").alias("rx_item"), F.col("b.item_id").alias("bill_item"))
 
@@ -30,11 +30,11 @@ def assignment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmatched_billed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.unmatched(bill_items(spark, sf_dir), _same_place(spark, sf_dir), "bill_item").select("scan_id", "item_id", "drug_name")
+    return pairing.unmatched(bill_items(spark, sf_dir), same_place(spark, sf_dir), "bill_item").select("scan_id", "item_id", "drug_name")
 
 
 def strength_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.strength_and_form(_same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir))
+    return rules.strength_and_form(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir))
 
 
 def line_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def low_confidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.all_findings(_same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir))
+    return rules.all_findings(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir))
 
 
 def verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ UNION ALL SELECT DISTINCT scan_id, 'CHECK_UNAVAILABLE', 'info', NULL, NULL FROM
 _LOW = """
 SELECT scan_id, 'LOW_CONFIDENCE_FIELD' AS rule_code, 'info' AS severity, item_id AS prescribed_ref, CAST(NULL AS VARCHAR) AS billed_ref FROM rx WHERE name_agreement < 1
 UNION ALL SELECT scan_id, 'LOW_CONFIDENCE_FIELD', 'info', NULL, item_id FROM bill WHERE name_agreement < 1"""
-_ALL = f"{WITH}, {SAME_PLACE}, {_JUDGED}, found AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (_STRENGTH, _ARITHMETIC, _DATES, _EXPIRY, _THERAPY, _LOW)) + ")"
+ALL = f"{WITH}, {SAME_PLACE}, {_JUDGED}, found AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (_STRENGTH, _ARITHMETIC, _DATES, _EXPIRY, _THERAPY, _LOW)) + ")"
 
 ORACLE: dict[str, str] = {
     "similarity_matrix": f"""{WITH} SELECT r.scan_id, r.item_id AS rx_item, b.item_id AS bill_item, round(0.60 * CASE WHEN r.salt IS NOT NULL AND b.salt IS NOT NULL AND (r.drug_name = b.drug_name OR r.salt = b.salt) THEN 1 ELSE 0 END
@@ -149,12 +149,12 @@ ORACLE: dict[str, str] = {
     "expiry": f"{WITH} {_EXPIRY}",
     "duplicate_therapy": f"{WITH} {_THERAPY}",
     "low_confidence_items": f"{WITH} {_LOW}",
-    "findings": f"{_ALL} SELECT * FROM found",
-    "verdict_score": f"""{_ALL}, names AS (SELECT scan_id, avg(CASE WHEN salt IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 OR avg(name_agreement) < 0.67 AS unclear FROM rx GROUP BY scan_id),
+    "findings": f"{ALL} SELECT * FROM found",
+    "verdict_score": f"""{ALL}, names AS (SELECT scan_id, avg(CASE WHEN salt IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 OR avg(name_agreement) < 0.67 AS unclear FROM rx GROUP BY scan_id),
       counts AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (rule_code = 'CHECK_UNAVAILABLE') AS u FROM found GROUP BY scan_id)
       SELECT n.scan_id, coalesce(c, 0) AS critical_count, coalesce(w, 0) AS warning_count, coalesce(u, 0) AS unavailable_count, CASE WHEN unclear THEN 'inconclusive' WHEN c > 0 THEN 'mismatch' WHEN w > 0 THEN 'match_with_warnings' ELSE 'match' END AS verdict,
         CASE WHEN NOT unclear THEN greatest(0, 100 - 25 * coalesce(c, 0) - 8 * coalesce(w, 0)) END AS score FROM names n LEFT JOIN counts USING (scan_id)""",
-    "rule_histogram_top20": f"{_ALL} SELECT rule_code, count(*) AS n FROM found WHERE severity IN ('critical', 'warning') AND scan_id IN (SELECT scan_id FROM scans ORDER BY created_on DESC, scan_id DESC LIMIT 20) GROUP BY rule_code",
+    "rule_histogram_top20": f"{ALL} SELECT rule_code, count(*) AS n FROM found WHERE severity IN ('critical', 'warning') AND scan_id IN (SELECT scan_id FROM scans ORDER BY created_on DESC, scan_id DESC LIMIT 20) GROUP BY rule_code",
     "early_repeat": f"""{WITH}, courses AS (SELECT DISTINCT b.scan_id, salt, employee_number, bill_date, bill_no, course_days FROM bill b JOIN scans s ON b.scan_id = s.scan_id WHERE salt IS NOT NULL AND bill_date IS NOT NULL)
       SELECT n.scan_id, n.salt, t.scan_id AS prior_scan_id, CAST(n.bill_date - t.bill_date AS BIGINT) AS gap_days, CAST(t.course_days AS BIGINT) AS course_days FROM courses n JOIN courses t ON n.employee_number = t.employee_number AND n.salt = t.salt AND n.scan_id <> t.scan_id AND n.bill_no <> t.bill_no AND n.bill_date - t.bill_date >= 0 AND n.bill_date - t.bill_date < t.course_days
       QUALIFY row_number() OVER (PARTITION BY n.scan_id, n.salt ORDER BY t.bill_date DESC, t.scan_id DESC) = 1""",
