@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,15 +59,42 @@ def best_assignment(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assign(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs of the assignment with the largest total over a scan's whole matrix, of which those above the threshold stay."""
+    """The pairs of the assignment with the largest total over a scan's whole matrix, of which those above the threshold stay.
+
+    Scans lie together in sorted partitions and are read in batches, as one call for each small matrix would cost more than the
+    assignment; the last scan of a batch waits for the next one.
+    """
+
+    def whole_scans(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        scan, rx, bill, score = (rows[c].to_numpy() for c in ("scan_id", "rx_item", "bill_item", "score"))
+        cuts = np.flatnonzero(scan[1:] != scan[:-1]) + 1
+        for a, z in zip([0, *cuts], [*cuts, len(rows)]):
+            left, i = np.unique(rx[a:z], return_inverse=True)
+            right, j = np.unique(bill[a:z], return_inverse=True)
+            grid = np.zeros((len(left), len(right)))
+            grid[i, j] = score[a:z]
+            if grid.max() > threshold:
+                out += [(scan[a], left[x], right[y], grid[x, y]) for x, y in best_assignment(grid) if grid[x, y] > threshold]
+        return pd.DataFrame(out, columns=["scan_id", "rx_item", "bill_item", "score"])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        grid = group.pivot(index="rx_item", columns="bill_item", values="score").sort_index().sort_index(axis=1)
-        chosen = best_assignment(grid.to_numpy(float))
-        rows = [(group["scan_id"].iloc[0], grid.index[i], grid.columns[j], grid.iat[i, j]) for i, j in chosen if grid.iat[i, j] > threshold]
-        return pd.DataFrame(rows, columns=["scan_id", "rx_item", "bill_item", "score"])
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if waiting and batch["scan_id"].iloc[-1] == waiting[0]["scan_id"].iloc[0]:
+                waiting.append(batch)
+                continue
+            rows = pd.concat([*waiting, batch])
+            last = rows["scan_id"].to_numpy() == rows["scan_id"].iloc[-1]
+            waiting = [rows[last]]
+            if not last.all():
+                yield whole_scans(rows[~last])
+        if waiting:
+            yield whole_scans(pd.concat(waiting))
 
-    return scored.groupBy("scan_id").applyInPandas(one, "scan_id long, rx_item string, bill_item string, score double")
+    return scored.repartition("scan_id").sortWithinPartitions("scan_id").mapInPandas(each, "scan_id long, rx_item string, bill_item string, score double")
 
 
 def unmatched(lines: DataFrame, pairs: DataFrame, item: str) -> DataFrame:
