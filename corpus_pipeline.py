@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages; each works on all that the one before it kept.
 
-Quality rules drop rejected documents and boilerplate lines, SimHash keeps one document of each group of near copies, secrets are
-masked, sources are mixed to their target weights by repeating rows, and what is left is packed into sequences of tokens.
+Quality rules drop rejected documents and boilerplate lines, one document stays of each group of near copies (five-word shingles alike
+to 0.8 or more), secrets are masked, sources are mixed to their target weights by repeating rows, and what is left is packed into sequences of tokens.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import mixing, packing, quality, secrets, simhash
+from claimloom.llm import likeness, mixing, packing, quality, secrets
 from claimloom.llm.common import shared_folder
 from claimloom.llm.registry import tokenizer_path
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return likeness.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL has neither the tokenizer nor SimHash; tests/llm holds the stages against plain Python.
+#: SQL has neither the tokenizer nor the shingles' hashes; tests/llm holds the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
