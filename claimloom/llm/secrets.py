@@ -4,7 +4,7 @@ Three kinds of span come from patterns: assignments to a credential's name, acce
 kind `entropy`: in every run of key characters a window slides by one character at a time. The counts of the window's characters are
 kept as they change, one in and one out, and with them the sum of n * log2(n), from which the window's Shannon entropy follows. The
 span runs from the first to the last window whose entropy reaches the limit of the run's character class. Runs that match an allow
-pattern (identifiers that are random yet public, placeholders) and spans that lie in a span of another kind are left out.
+pattern (identifiers that are random yet public, names), windows that touch a covered stretch (placeholders) and spans that lie in a span of another kind are left out.
 
 Positions come from the pieces between matches and the matches themselves, so they count code points and a text is never cut.
 
@@ -32,8 +32,10 @@ SHORTEST, WIDTH = 20, 20
 #: Character classes, the first that fits a run holding, with the least entropy in bits that makes a window suspect: what all but some
 #: 3 % of random windows over 16, 62 and 36 characters reach.
 CLASSES = (("hexadecimal", r"^[0-9a-fA-F]+$", 3.0), ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.7), ("one case", r"^(?=.*[0-9])(?=.*[A-Za-z])", 3.5))
-#: Runs that are no secrets: UUIDs, placeholders, a character repeated, paths and names joined by signs, numbers after words included.
-ALLOWED = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|dummy|placeholder|xxxx", r"(.)\1{7,}", r"^[A-Za-z]*([/_=-][A-Za-z]*)*$", r"^[a-z]*+[0-9]*+(?:[/_=-][a-z]*+[0-9]*+)*+$", r"^[A-Z]*+[0-9]*+(?:[/_=-][A-Z]*+[0-9]*+)*+$")
+#: Runs that are no secrets as a whole: UUIDs, paths and names joined by signs, numbers after words included.
+ALLOWED = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[A-Za-z]*([/_=-][A-Za-z]*)*$", r"^[a-z]*+[0-9]*+(?:[/_=-][a-z]*+[0-9]*+)*+$", r"^[A-Z]*+[0-9]*+(?:[/_=-][A-Z]*+[0-9]*+)*+$")
+#: Stretches that no window may touch, each with its length; the rest of the run is scanned. Repeats need none, their entropy is low.
+COVERED = ((r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])", 36), ("(?i)example", 7), ("(?i)sample", 6), ("(?i)dummy", 5), ("(?i)placeholder", 11), ("(?i)xxxx", 4))
 MASK = "[SECRET]"
 
 
@@ -94,7 +96,8 @@ def scan(docs: DataFrame, *, text: str = "text", width: int = WIDTH) -> DataFram
             _spans(matches(body, HEX), "hex"),
         )
     )
-    runs = matches(body, f"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+    bare = reduce(lambda t, c: F.regexp_replace(t, c[0], " " * c[1]), COVERED, body)
+    runs = matches(bare, f"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
     limited = F.filter(F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["part"].alias("part"), _limit(m["part"]).alias("limit"))), lambda m: m["limit"].isNotNull())
     measured = F.transform(limited, lambda m: F.struct(m["start"].alias("start"), suspect_windows(m["part"], m["limit"], width).alias("w")))
     hits = F.transform(F.filter(measured, lambda m: m["w"]["first"].isNotNull()), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), (m["start"] + m["w"]["last"] + width).alias("end")))

@@ -39,3 +39,16 @@ def test_random_keys_of_every_class_are_found(spark):
 
 def test_clean_runs_stay(spark):
     assert not any(spans(spark, [f"a {t} b" for t in CLEAN]).values())
+
+
+def test_allowed_stretches_cover_only_themselves(spark):
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice(LOWER + UPPER + DIGITS) for _ in range(n))
+    ahead = ["========", "--------", "api_example_", "Sample-", key(40) + "A" * 12, "xxxx", "123e4567-e89b-12d3-a456-426614174000/"]
+    texts = [f"see {a}{key(40)} end" for a in ahead]
+    got = spans(spark, texts)
+    for i, a in enumerate(ahead):
+        ends = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("entropy")]
+        assert ends and max(e for _, e in ends) == len(texts[i]) - 4, (a, got[i])
+        assert a not in ("api_example_", "Sample-") or min(s for s, _ in ends) >= 4 + len(a) - 1
+    assert not any(spans(spark, ["an example_of_dummy_placeholder1 b", "id=123e4567-e89b-12d3-a456-426614174000 b"]).values())
