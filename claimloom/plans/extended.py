@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import sig, units
-from claimloom.operators import consensus, counterparts, history, lab, listing, money, pairing, resolution
+from claimloom.operators import consensus, counterparts, history, lab, listing, money, pairing, resolution, rules
 from claimloom.plans.claims import BILL_ITEMS, bill_items, plain, rx_items, scans, view
-from claimloom.plans.registry import ALL, WITH, findings, same_place
+from claimloom.plans.registry import ALL, WITH, assignment_pairs, findings, same_place
 
 SIGS = """
 SELECT p_partkey AS item, CASE p_partkey % 14 WHEN 0 THEN 'OD' WHEN 1 THEN '1-0-1' WHEN 2 THEN 'bd' WHEN 3 THEN '1–1–1' WHEN 4 THEN 'SOS' WHEN 5 THEN '½-0-1½' WHEN 6 THEN 'TDS after food'
@@ -132,7 +132,49 @@ def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.alike(view(spark, sf_dir, NAMES), view(spark, sf_dir, DICTIONARY))
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (sig_parse, pack_size_parse, strength_normalise, total_checks, row_status, category_totals, counterpart_rules, quantity_rules, lab_component_join, report_axis, consensus_mode, consensus_majority, bbox_iou, line_overlap, scan_filters, visibility, count_by_employee, review_progress, exact_resolution, schedule_lookup, fuzzy_resolution)
+# The same over the optimal assignment and with every rule; SQL can't follow the assignment, so these have none.
+
+
+def whole_unmatched_billed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.unmatched(bill_items(spark, sf_dir), assignment_pairs(spark, sf_dir), "bill_item").select("scan_id", "item_id", "drug_name")
+
+
+def whole_strength_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.strength_and_form(assignment_pairs(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir))
+
+
+def whole_counterpart_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rx, bill, pairs = rx_items(spark, sf_dir), bill_items(spark, sf_dir), assignment_pairs(spark, sf_dir)
+    return counterparts.unmatched_findings(pairing.unmatched(rx, pairs, "rx_item"), pairing.unmatched(bill, pairs, "bill_item"))
+
+
+def whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counterparts.whole_findings(assignment_pairs(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir), quantity_rules(spark, sf_dir), total_checks(spark, sf_dir))
+
+
+def whole_verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(whole_findings(spark, sf_dir), rx_items(spark, sf_dir))
+
+
+def whole_rule_histogram_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.frequent_codes(whole_findings(spark, sf_dir), scans(spark, sf_dir))
+
+
+def _whole_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = assignment_pairs(spark, sf_dir).select("scan_id", F.col("bill_item").alias("item_id"))
+    return money.line_states(bill_items(spark, sf_dir).select("scan_id", "item_id", "line_total"), whole_findings(spark, sf_dir), matched)
+
+
+def whole_row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_states(spark, sf_dir).drop("line_total")
+
+
+def whole_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return money.category_totals(_whole_states(spark, sf_dir))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (sig_parse, pack_size_parse, strength_normalise, total_checks, row_status, category_totals, counterpart_rules, quantity_rules, lab_component_join, report_axis, consensus_mode, consensus_majority, bbox_iou, line_overlap, scan_filters, visibility, count_by_employee, review_progress, exact_resolution, schedule_lookup, fuzzy_resolution,
+    whole_unmatched_billed, whole_strength_rules, whole_counterpart_rules, whole_findings, whole_verdict_score, whole_rule_histogram_top20, whole_row_status, whole_category_totals)
 
 _SIGS = f"WITH s AS ({plain(SIGS)})"
 _STATES = f"""{ALL}, told AS (SELECT scan_id, billed_ref AS item_id, bool_or(severity = 'critical') AS c, bool_or(severity = 'warning') AS w, bool_or(rule_code = 'BRAND_SUBSTITUTION') AS sub, bool_or(rule_code IN ('CHECK_UNAVAILABLE', 'STRENGTH_UNIT_UNSTATED')) AS un FROM found WHERE billed_ref IS NOT NULL GROUP BY ALL),
