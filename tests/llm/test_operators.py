@@ -154,6 +154,9 @@ def test_large_poisson_means(spark):
     assert abs(drawn.mean() - 40) < 0.5 and abs(drawn.var() - 40) < 4
 
 
+ALLOWED_RUNS = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[A-Za-z]*+([/_=-][A-Za-z]*+)*+", r"[a-z]*+[0-9]*+([/_=-][a-z]*+[0-9]*+)*+", r"[A-Z]*+[0-9]*+([/_=-][A-Z]*+[0-9]*+)*+")
+
+
 def brute_secrets(text):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     base = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 6]
@@ -163,7 +166,7 @@ def brute_secrets(text):
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         run = m[0]
         limit = next((x for _, p, x in secrets.CLASSES if re.search(p, run)), None)
-        if limit is None or any(re.search(p, run) for p in secrets.ALLOWED):
+        if limit is None or any(re.fullmatch(p, run) for p in ALLOWED_RUNS):
             continue
         entropy = lambda w: -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
         hits = [i for i in range(len(run) - 19) if entropy(run[i : i + 20]) >= limit - 1e-9]
