@@ -33,6 +33,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SHORTEST, WIDTH = 20, 20
 #: Entries that a running sum or maximum takes at a time.
 CHUNK = 256
+#: Code points of a block that masked texts are put together from.
+BLOCK = 4096
 #: Character classes, the first that fits a run holding, with the least entropy in bits that makes a window suspect: what all but some
 #: 3 % of random windows over 16, 62 and 36 characters reach.
 CLASSES = (("hexadecimal", r"^[0-9a-fA-F]+$", 3.0), ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.7), ("one case", r"^(?=.*[0-9])(?=.*[A-Za-z])", 3.5))
@@ -159,16 +161,28 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return scan(docs, **options).select("row.doc_id", *(count(k) for k in KINDS[:3]), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _pieces(body: Column, cuts: Column) -> Column:
+    """The parts (start, end) of a text, read from blocks of it so that no part costs a walk over the whole text."""
+
+    def piece(blocks: Column, cut: Column) -> Column:
+        within = lambda k: F.greatest(cut["start"] - k * BLOCK, F.lit(0))
+        part = lambda k: F.substring(F.get(blocks, k), within(k) + 1, F.least(cut["end"] - k * BLOCK, F.lit(BLOCK)) - within(k))
+        held = F.sequence(F.floor(cut["start"] / BLOCK).cast("int"), F.floor((cut["end"] - 1) / BLOCK).cast("int"))
+        return F.when(cut["end"] > cut["start"], F.array_join(F.transform(held, part), "")).otherwise("")
+
+    return let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(cuts, lambda c: piece(blocks, c)))
+
+
 def redact(docs: DataFrame, *, text: str = "text", mask: str = MASK, **options) -> DataFrame:
     """`docs` with every span, joined with those it overlaps, replaced by the mask; other columns and rows stay."""
     body = F.col(f"row.{text}").cast("string")
+    reach = let(F.transform("spans", lambda x: x["end"]), lambda e: running(e, F.greatest))
 
-    def cut(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(body, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(gap))).otherwise(s["out"]).alias("out"))
+    def gaps(upto: Column) -> Column:
+        """The text between a span that begins past all before it and these, and what follows the last."""
+        spans = F.transform("spans", lambda x, i: F.struct(F.when(i > 0, F.get(upto, i - 1)).otherwise(0).alias("start"), x["start"].alias("end"), (i == 0).alias("first")))
+        fresh = F.filter(spans, lambda x: x["first"] | (x["end"] >= x["start"]))
+        return F.concat(F.transform(fresh, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.array(F.struct(F.element_at(upto, -1).alias("start"), F.length(body).alias("end"))))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("out"))
-    masked = F.aggregate("spans", start, cut, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(body, s["at"] + 1, F.length(body)))), mask))
-    clean = F.when(F.size("spans") > 0, masked).otherwise(body)
+    clean = F.when(F.size("spans") > 0, F.array_join(_pieces(body, let(reach, gaps)), mask)).otherwise(body)
     return scan(docs, text=text, **options).select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
