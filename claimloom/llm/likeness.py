@@ -1,20 +1,8 @@
-"""Near-duplicates by the Jaccard likeness of word shingles: bands of minima propose pairs, the shingles themselves decide.
+"""The Jaccard likeness of texts by word shingles: sets, bands of their least hashes, and exact comparison inside tasks.
 
-A text's shingles are those of `SHINGLE` lower-cased words (of all its words if it has fewer), hashed to 64 bits, each once. Two texts
-are near-duplicates if their shingles' likeness is at least `LEAST`. SimHash can't propose such pairs: at a likeness of 0.8 two
-fingerprints differ in some 10 of 64 bits, often in 16, and blocks for so wide a radius hold 3 bits each. Instead the least values of
-`BANDS` * `ROWS` hash functions are taken, and texts that agree in all rows of a band share a group; a pair at 0.8 shares none with a
-probability of (1 - 0.8^6)^24 = 0.0007, less above. Within the groups no pair is left out:
-
-1. each text is paired with the least text of each of its groups, pairs are confirmed on their shingles, and components are formed;
-2. in a group that still holds several components, all pairs across components are confirmed.
-
-A group of n copies of one text thus costs n pairs. Before shingles are read, a pair must fit by its numbers of shingles, which excludes
-no pair at 0.8, and by a bit of each of 128 minima: a pair at 0.8 differs in 13 of them on average and in more than `MOST_BITS` with a
-probability below 1e-7. In a large group of texts that aren't alike the comparisons of these bits still grow with the square.
-
-Defined results: null, empty and blank texts are alike; equal texts are one node; a null id comes last; an empty table gives an empty
-result; all columns stay.
+A text's shingles are those of `SHINGLE` lower-cased words (of all its words if it has fewer), hashed to 64 bits, each once. Texts that
+agree in all `ROWS` least hashes of one of `BANDS` bands share a block; a pair at a likeness of 0.8 shares none with a probability of
+(1 - 0.8^6)^24 = 0.0007, less above.
 """
 
 from __future__ import annotations
@@ -24,16 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from claimloom.llm.common import checkpoint, columns, slices, words_of
-from claimloom.llm.components import components
+from claimloom.llm.blocks import bounds
+from claimloom.llm.common import columns, slices, words_of
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Bits of two texts' minima that may differ in a pair worth reading.
-MOST_BITS = 33
 SEED = 42
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,90 +52,70 @@ def shingles(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> tuple
     return np.append(0, np.cumsum(np.bincount(owner[fresh], minlength=len(texts)))), h[fresh]
 
 
-def bands(starts: np.ndarray, hashes: np.ndarray, n_bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each text and band, of which the number of the band is part, and a bit of each of the first 128 minima in two words."""
+def bands(starts: np.ndarray, hashes: np.ndarray, n_bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
+    """A key for each text and band, of which the number of the band is part."""
     rng = np.random.default_rng(seed)
-    out, bits, k = np.zeros((len(starts) - 1, n_bands), np.uint64), np.zeros((len(starts) - 1, 2), np.uint64), 0
+    out = np.zeros((len(starts) - 1, n_bands), np.uint64)
     for b in range(n_bands):
         out[:, b] = b + 1
         for _ in range(rows):
             flip, by = (np.uint64(x) for x in rng.integers(0, 1 << 63, 2, dtype=np.uint64))
             least = np.minimum.reduceat((hashes ^ flip) * (by | np.uint64(1)), starts[:-1])
             out[:, b] = _mixed(out[:, b] * _STEP + least)
-            if k < 128:
-                bits[:, k // 64] |= (_mixed(least) & np.uint64(1)) << np.uint64(k % 64)
-            k += 1
-    return out, bits
+    return out
 
 
-def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+def lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(id, node, size, x, y, keys) of rows (id, node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("keys", pa.list_(pa.int64()))])
-        for batch in slices(batches, "text", 1 << 20):
-            starts, hashes = shingles(batch.column("text"))
-            keys, bits = bands(starts, hashes)
-            yield columns(schema, id=batch.column("id"), node=batch.column("node"), size=np.diff(starts), x=bits[:, 0].astype(np.int64), y=bits[:, 1].astype(np.int64), keys=_lists(np.arange(len(keys) + 1) * keys.shape[1], keys.ravel()))
-
-    return texts.select("id", "node", "text").mapInArrow(run, "id long, node long, size long, x long, y long, keys array<long>")
-
-
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, set) of rows (node, text)."""
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows (g, node, size, fp, text) with their set of shingles in place of the text."""
+    schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
         for batch in slices(batches, "text", 1 << 20):
-            yield columns(schema, node=batch.column("node"), set=_lists(*shingles(batch.column("text"))))
-
-    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
-
-
-def _fits(a: str, b: str, least: float) -> Column:
-    """Whether two rows with size, x and y may be alike."""
-    size = lambda s: F.col(f"{s}size")
-    apart = sum(F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in "xy")
-    return (F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * least) & (apart <= MOST_BITS)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingles are alike."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = checkpoint(shingle_sets(texts.join(checkpoint(asked), "node", "left_semi").dropDuplicates(["node"])))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return checkpoint(both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select("u", "v"))
-
-
-def alike(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Edges (u, v), u > v, among rows (node, size, x, y, keys), whose components are those of all confirmed pairs that share a group."""
-    placed = nodes.select("node", "size", "x", "y", F.explode("keys").alias("g"))
-    heads = checkpoint(placed.groupBy("g").agg(F.min(F.struct("node", "size", "x", "y")).alias("head"), F.count("*").alias("n")).where("n > 1").select("g", "head"))
-    held = checkpoint(placed.join(heads, "g"))
-    first = held.where((F.col("node") > F.col("head.node")) & _fits("", "head.", least))
-    first = checkpoint(first.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
-    edges = confirmed(first, texts, least)
-    rooted = held.select("g", "node", "size", "x", "y").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpoint(rooted)
-    open_ = checkpoint(rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g"))
-    left = checkpoint(rooted.join(open_, "g"))
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _fits("a.", "b.", least))
-    rest = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    return edges.union(confirmed(checkpoint(rest), texts, least))
-
-
-def deduplicate(docs: DataFrame, *, text: str = "text", least: float = LEAST) -> DataFrame:
-    """One row of each component, that with the least id (null last) and then the least hash of its text; all columns stay."""
-    ident, at = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text).cast("string"))
-    texts = docs.select(ident.alias("id"), at.alias("node"), F.col(text).cast("string").alias("text"))
-    nodes = checkpoint(checkpoint(sketches(texts)).groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "x", "y", "keys"))))
-    roots = nodes.select("node", "id").join(components(alike(nodes, texts, least)), "node", "left")
-    best = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.node").alias("__at"))
-    rows = docs.withColumn("__id", ident).withColumn("__at", at)
-    return rows.join(best, ["__id", "__at"], "left_semi").dropDuplicates(["__id", "__at"]).drop("__id", "__at")
+            yield columns(schema, **{c: batch.column(c) for c in ("g", "node", "size", "fp")}, set=lists(*shingles(batch.column("text"), shingle)))
+
+    return texts.select("g", "node", "size", "fp", "text").mapInArrow(run, "g long, node long, size long, fp long, set array<long>")
+
+
+def alike_in_task(table: pa.Table, least: float, radius: int) -> pa.Table:
+    """Edges (u, v) of a spanning forest of the pairs of each group whose sets are alike to `least`.
+
+    A pair is read only if its sizes and fingerprints allow it and its rows aren't linked yet. One row's set is marked in an array of
+    the task's shingles, and the marks under the sets it is compared with are summed.
+    """
+    table = table.take(pa.array(np.argsort(table.column("g").to_numpy(), kind="stable")))
+    g, node, size, side = (table.column(c).to_numpy() for c in ("g", "node", "size", "side"))
+    fp = table.column("fp").to_numpy().view(np.uint64)
+    sets = table.column("set").combine_chunks()
+    begin = sets.offsets.to_numpy().astype(np.int64)
+    begin -= begin[0]
+    known, codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    marked, root = np.zeros(len(known), np.int64), np.arange(len(g))
+    u: list[int] = []
+    v: list[int] = []
+    for a, z in bounds(g):
+        across = side[a:z].any()
+        for i in range(a, z):
+            if across and side[i]:
+                continue
+            j = np.arange(a if across else i + 1, z)
+            fits = (root[j] != root[i]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i])) & (np.bitwise_count(fp[j] ^ fp[i]) <= radius)
+            j = j[fits & (side[j] == 1)] if across else j[fits]
+            if not len(j):
+                continue
+            own = codes[begin[i] : begin[i + 1]]
+            marked[own] = 1
+            ends = np.cumsum(size[j])
+            first = ends - size[j]
+            shared = np.add.reduceat(marked[codes[np.arange(ends[-1]) + np.repeat(begin[j] - first, size[j])]], first)
+            marked[own] = 0
+            like = j[shared >= least * (size[i] + size[j] - shared) - 1e-9]
+            for k in like[np.unique(root[like], return_index=True)[1]]:
+                u.append(i)
+                v.append(k)
+                part = root[a:z]
+                part[part == root[k]] = root[i]
+    return pa.table({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})

@@ -8,6 +8,10 @@ is compared with exclusive-or and bit counts unless its population counts differ
 dealt into parts, and every pair of parts is a task of its own. A task returns not its pairs but a spanning forest of them, so a
 group of n near copies costs n rows, and the forests' union has the same components as all pairs.
 
+Texts whose five-word shingles are alike to 0.8 (`deduplicate`) differ in some 10 of 64 bits, and no block of bits is selective at so wide
+a radius. There the blocks are bands of least hashes (`likeness.py`); the tiles are compared as before, with the wide radius, and what
+they link is confirmed on the shingles themselves.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows and equal texts share a
 fingerprint and a component; a row with a null id belongs to its component but never names it (a component of such rows alone has a
 null id); an empty table gives an empty result; other columns are ignored.
@@ -24,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import likeness
+from claimloom.llm.blocks import TASK, Forest, bounds, deal
 from claimloom.llm.common import checkpoint, columns, slices, words_of
 from claimloom.llm.components import components
 
@@ -32,6 +38,10 @@ RADIUS = 3
 SEED = 42
 #: Rows of a group as aimed at, and past which a group is dealt into parts; rows of a tile.
 GROUP, MOST, TILE = 4096, 16384, 1024
+#: Bits by which fingerprints of texts alike to 0.8 may differ: 10 on average, more than this with a probability below 1e-5.
+WIDE_RADIUS = 24
+#: Rows up to which groups are compared all at once; shingles of a part of a group that are read together.
+FEW, PART_SHINGLES = 32, 1 << 20
 
 
 def simhashes(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -55,12 +65,18 @@ def simhashes(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.n
     hash_ = xxhash.xxh64_intdigest
     h = np.array([hash_(joined[a:b], seed) for a, b in zip(begin[i].tolist(), end[last].tolist())], dtype="<u8")
     have = counts > 0
-    for lo in range(0, len(texts), 256):  # bounds the memory of the unpacked bits
-        docs = np.flatnonzero(have[lo : lo + 256]) + lo
-        if len(docs):
-            a, b = first[docs[0]], first[docs[-1]] + counts[docs[-1]]
-            set_ = np.add.reduceat(np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first[docs] - a, axis=0, dtype=np.int32)
-            out[docs] = np.packbits(2 * set_ > counts[docs][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    out[have] = majority(h, first[have], counts[have])
+    return out
+
+
+def majority(h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of hashes, the bits that over half of them have."""
+    out = np.empty(len(first), np.uint64)
+    for lo in range(0, len(first), 256):  # bounds the memory of the unpacked bits
+        f, n = first[lo : lo + 256], counts[lo : lo + 256]
+        a, b = f[0], f[-1] + n[-1]
+        set_ = np.add.reduceat(np.unpackbits(h[a:b].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), f - a, axis=0, dtype=np.int32)
+        out[lo : lo + 256] = np.packbits(2 * set_ > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -75,13 +91,16 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", kind: str = "long", te
     return docs.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def forest(fps: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) of a spanning forest of the pairs within `radius`; side: with both 0 and 1 present, only pairs across sides."""
+def forest(fps: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE, sizes: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, row) of a spanning forest of the pairs within `radius`; side: with both 0 and 1 present, only pairs across sides.
+
+    With `sizes`, a pair's smaller size must be `least` times its larger one at least.
+    """
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     fps, side = fps[order], side[order]
+    sizes = None if sizes is None else sizes[order]
     ones = np.bitwise_count(fps).astype(np.int64)
-    across = len(np.unique(side)) > 1
-    parent = np.arange(len(fps))
+    across, found = len(np.unique(side)) > 1, Forest(len(fps))
     for a in range(0, len(fps), tile):
         x = fps[a : a + tile]
         for b in range(a, len(fps), tile):
@@ -90,17 +109,13 @@ def forest(fps: np.ndarray, side: np.ndarray, radius: int, tile: int = TILE) ->
             near = np.bitwise_count(x[:, None] ^ fps[None, b : b + tile]) <= radius
             if across:
                 near &= side[a : a + tile, None] != side[None, b : b + tile]
+            if sizes is not None:
+                p, q = sizes[a : a + tile, None], sizes[None, b : b + tile]
+                near &= np.minimum(p, q) >= least * np.maximum(p, q)
             i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            while True:
-                ri, rj = parent[i], parent[j]
-                if not (apart := ri != rj).any():
-                    break
-                np.minimum.at(parent, np.maximum(ri, rj)[apart], np.minimum(ri, rj)[apart])
-                while not np.array_equal(up := parent[parent], parent):
-                    parent = up
-    child = np.flatnonzero(parent != np.arange(len(fps)))
-    return order[child], order[parent[child]]
+            found.link(i + a, j + b)
+    child, parent = found.edges()
+    return order[child], order[parent]
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -129,22 +144,74 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, **options) -> Data
     return grouped(checkpoint(fingerprints(docs, **options)), radius)
 
 
-def deduplicate(docs: DataFrame, *, radius: int = RADIUS, text: str = "text", **options) -> DataFrame:
-    """One row of each component, that with the least id (null last) and then the least hash of its text; all columns stay."""
-    ids = docs.select("doc_id", F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("text"))
-    prints = checkpoint(fingerprints(ids.select(F.struct("doc_id", "__hash").alias("both"), "text"), key="both", kind="struct<doc_id: bigint, __hash: bigint>", **options))
-    flat = prints.select(F.coalesce("doc_id.doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "doc_id.__hash", "fp")
-    named = grouped(flat, radius, "__hash")
-    best = named.groupBy("component_id", "root").agg(F.min(F.struct("doc_id", "__hash")).alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.__hash").alias("__at"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__at", F.xxhash64(F.col(text)))
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, node, size, fp, keys) of rows (id, node, text): fingerprints of the different shingles, and the blocks of each text."""
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            starts, hashes = likeness.shingles(batch.column("text"), shingle)
+            keys = likeness.bands(starts, hashes)
+            yield columns(schema, id=batch.column("id"), node=batch.column("node"), size=np.diff(starts), fp=majority(hashes, starts[:-1], np.diff(starts)).view(np.int64), keys=likeness.lists(np.arange(len(keys) + 1) * keys.shape[1], keys.ravel()))
+
+    return texts.select("id", "node", "text").mapInArrow(run, "id long, node long, size long, fp long, keys array<long>")
+
+
+def near_in_task(table: pa.Table, radius: int, least: float) -> pa.Table:
+    """Edges (u, v) of a spanning forest of the pairs that share a group and lie within the radius; small groups are compared all at once."""
+    fps = table.column("fp").to_numpy().view(np.uint64)
+    order = np.lexsort((np.bitwise_count(fps), table.column("g").to_numpy()))
+    g, size, side, node = (table.column(c).to_numpy()[order] for c in ("g", "size", "side", "node"))
+    fps = fps[order]
+    ids, at = np.unique(node, return_inverse=True)
+    found = Forest(len(ids))
+    runs = np.array(list(bounds(g)), np.int64).reshape(-1, 2)
+    small = np.repeat(runs[:, 1] - runs[:, 0] <= FEW, runs[:, 1] - runs[:, 0])
+    for k in range(1, FEW):
+        i = np.flatnonzero(small[:-k] & (g[:-k] == g[k:])) if len(g) > k else np.empty(0, np.int64)
+        if not len(i):
+            break
+        j = i + k
+        near = (np.bitwise_count(fps[i] ^ fps[j]) <= radius) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & ((side[i] != side[j]) | (table.column("a")[0].as_py() == table.column("b")[0].as_py()))
+        found.link(at[i[near]], at[j[near]])
+    for a, z in runs[runs[:, 1] - runs[:, 0] > FEW].tolist():
+        i, j = forest(fps[a:z], side[a:z], radius, sizes=size[a:z], least=least)
+        found.link(at[a + i], at[a + j])
+    child, parent = found.edges()
+    return pa.table({"u": ids[child], "v": ids[parent]})
+
+
+def alike(nodes: DataFrame, texts: DataFrame, least: float, radius: int, shingle: int) -> DataFrame:
+    """Edges (u, v) among rows (node, size, fp, keys), whose components are those of all pairs alike to `least` that share a block.
+
+    In each block fingerprints are compared by tiles. What hangs together by that is a group whose shingles are read and compared; a
+    text is in one such group only, and neither step returns more than a forest.
+    """
+    placed = nodes.select(F.explode("keys").alias("g"), "node", "size", "fp")
+    dealt = deal(placed, F.lit(1), most=MOST, per_task=4 * MOST)
+    near = dealt.groupBy(*TASK).applyInArrow(lambda t: near_in_task(t, radius, least), "u long, v long")
+    groups = checkpoint(components(near).distinct().join(nodes.select("node", "size", "fp"), "node"))
+    read = texts.select("node", "text").join(groups.select("node", F.col("root").alias("g"), "size", "fp"), "node").dropDuplicates(["node"])
+    sets = checkpoint(likeness.shingle_sets(read, shingle))
+    return deal(sets, F.col("size"), most=PART_SHINGLES, per_task=2 * PART_SHINGLES).groupBy(*TASK).applyInArrow(lambda t: likeness.alike_in_task(t, least, radius), "u long, v long")
+
+
+def deduplicate(docs: DataFrame, *, text: str = "text", least: float = likeness.LEAST, radius: int = WIDE_RADIUS, shingle: int = likeness.SHINGLE) -> DataFrame:
+    """One row of each group of texts alike to `least`, that with the least id (null last), then the least hash of its text; all columns stay."""
+    ident, at = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text).cast("string"))
+    texts = docs.select(ident.alias("id"), at.alias("node"), F.col(text).cast("string").alias("text"))
+    nodes = checkpoint(checkpoint(sketches(texts, shingle)).groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "fp", "keys"))))
+    roots = nodes.select("node", "id").join(components(alike(nodes, texts, least, radius, shingle)), "node", "left")
+    best = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.node").alias("__at"))
+    rows = docs.withColumn("__id", ident).withColumn("__at", at)
     return rows.join(best, ["__id", "__at"], "left_semi").dropDuplicates(["__id", "__at"]).drop("__id", "__at")
 
 
-def grouped(prints: DataFrame, radius: int, *extra: str) -> DataFrame:
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
     """The rows (doc_id, fp) with their fingerprint in hexadecimal digits and the least id of their component."""
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id", "root")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra, *(["root"] if extra else []))
+    by_print = rooted.join(named, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from claimloom.llm import likeness, quality
+from claimloom.llm import likeness, quality, simhash
 from claimloom.llm.common import checkpoint
 from tests.llm.helpers import empty_documents, odd_documents
 
@@ -71,15 +71,26 @@ def test_bands_share_a_key_at_the_limit():
     sets = [shingle_set(t) for t in texts]
     like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
     assert 0.8 <= min(like) and max(like) < 0.81
-    keys, bits = likeness.bands(*likeness.shingles(pa.array(texts)))
-    near = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1) <= likeness.MOST_BITS
+    starts, hashes = likeness.shingles(pa.array(texts))
+    keys, prints = likeness.bands(starts, hashes), simhash.majority(hashes, starts[:-1], np.diff(starts))
+    near = np.bitwise_count(prints[::2] ^ prints[1::2]) <= simhash.WIDE_RADIUS
     assert near.all() and (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.995
     starts, hashes = likeness.shingles(pa.array(texts[:50] + ["", None, "a", "A b c"]))
     assert (starts[1:] - starts[:-1]).tolist() == [len(shingle_set(t)) for t in [*texts[:50], "", None, "a", "A b c"]]
 
 
+def test_large_groups_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST", 16)
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 2000)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(edited(base, rng.choice((0, 1, 2, 4, 6, 9)), rng)), "en", "s", 0) for k in range(150)]
+    docs = spark.createDataFrame(rows, odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == brute_kept([(r[0], r[1]) for r in rows])
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
-    got = {r.doc_id for r in likeness.deduplicate(docs).collect()}
-    assert got == {0, 1, 3, 6, None, 7} and likeness.deduplicate(docs).columns == docs.columns
-    assert likeness.deduplicate(empty_documents(spark)).count() == 0
+    got = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert got == {0, 1, 3, 6, None, 7} and simhash.deduplicate(docs).columns == docs.columns
+    assert simhash.deduplicate(empty_documents(spark)).count() == 0
