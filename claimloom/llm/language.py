@@ -4,8 +4,8 @@ Each language has a zstandard dictionary of raw content, made of sampled text in
 every dictionary, and the language whose dictionary makes the whole smallest is chosen. Where the second best comes within `MARGIN` of
 the best, the row is marked as rejected: the guess is still told, as is the score that its margin gives.
 
-The dictionaries are made on the driver from at most `SAMPLE_ROWS` rows of each language, of each a passage of `SAMPLE_CHARS` characters
-at a hashed place; that bound is the only sampling here. Every text is classified whole.
+The dictionaries are made on the driver from the whole texts of at most `SAMPLE_ROWS` rows of each language; that bound is the only
+sampling here. Every text is classified whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no language learned all rows are `und`; repeated rows
 get equal results; a null id is classified, never learned from; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import columns, slices
 
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 1500
+SAMPLE_ROWS = 64
 LEVEL, BLOCK = 3, 2048
 #: The least difference between the two smallest sizes, as a share of the larger, that isn't narrow.
 MARGIN = 0.02
@@ -37,7 +37,7 @@ def remainder(key: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.encode(key.cast("string"), "utf-8")), F.lit(by))
 
 
-def passages(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 10) -> dict[str, bytes]:
+def contents(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 10) -> dict[str, bytes]:
     """Raw content for each language: the rows least by hash among those that aren't held out, found without bringing a language together."""
     have = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 5) != 0))
     counts = {r["lang"]: r["count"] for r in have.groupBy("lang").count().collect()}
@@ -45,12 +45,11 @@ def passages(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
         return {}
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cut = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * rows + 20) / n))))[F.col("lang")]
-    place = 1 + F.floor(hashed * F.greatest(F.length("text") - chars, F.lit(0))).cast("int")
-    few = have.withColumn("h", hashed).where(F.col("h") < cut).select("lang", "h", "doc_id", F.substring(F.col("text"), place, F.lit(chars)).alias("passage"))
-    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "passage"))).where(F.col("k") <= rows)
+    few = have.withColumn("h", hashed).where(F.col("h") < cut).select("lang", "h", "doc_id", "text")
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= rows)
     out: dict[str, list[str]] = {}
     for r in first.orderBy("lang", F.desc("k")).collect():
-        out.setdefault(r["lang"], []).append(r["passage"])
+        out.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(x).lower().encode() for lang, x in sorted(out.items())}
 
 
@@ -82,7 +81,7 @@ class Classifier:
 
 def classify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of `docs`."""
-    content = passages(docs, **options)
+    content = contents(docs, **options)
     shared = docs.sparkSession.sparkContext.broadcast(content)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
