@@ -3,8 +3,8 @@
 A line is normalised (lower case, digits as 0, white space joined) and hashed. For each host the documents that hold a line are counted,
 a document being a distinct text, so exact copies count once. A line in more documents than `least` and more than `share` of the host's
 documents is boilerplate: it is removed, and a document of whose words less than `keep` remain is rejected as depleted. A few base
-rules on the text alone come before. Lines go to the shuffle as hashes; frequent lines come back to the documents by a broadcast while
-they are few, and by a join on host and text beyond that.
+rules on the text alone come before. Lines go to the shuffle as hashes; frequent lines come back to the documents as one
+broadcast of all hosts' lines while they are few, and beyond that by a join that sends each text only the lines that it holds.
 
 Defined results: a null or empty text has no words and fails the base rules; null hosts are a host of their own; repeated rows are judged
 alike and count once; an empty table gives an empty result; other columns are ignored (`clean` keeps all).
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import checkpoint, columns, slices, words_of
@@ -95,12 +96,13 @@ def without_lines(text: str | None, bad: frozenset[int]) -> str | None:
     return "\n".join(x for x in text.split("\n") if line_hash(x) not in bad) if text and bad else text
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The metrics of each row of (row, text, bad), bad being the hashes of the lines to remove."""
+def measure(docs: DataFrame, shared: Broadcast | None = None) -> DataFrame:
+    """The metrics of each row of (row, text, host, bad); the lines to remove are those that `shared` has for the host, or else `bad`."""
     schema = pa.schema([("row", pa.null()), *((n, {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[t]) for n, t in (x.split() for x in METRICS.split(", ")))])
 
+    none: frozenset[int] = frozenset()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[int]] = {}
         for batch in slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             starts, words = words_of(texts)
@@ -108,11 +110,7 @@ def measure(docs: DataFrame) -> DataFrame:
             chars = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64))])
             repeated = repeated_words(words.dictionary_encode().indices.to_numpy(), starts)
             whole = batch.column("text").to_pylist()
-            bad = []
-            for x in batch.column("bad").to_pylist():
-                if len(sets) > 10_000:
-                    sets.clear()
-                bad.append(sets.setdefault(tuple(x or ()), frozenset(x or ())))
+            bad = [shared.value.get(h, none) for h in batch.column("host").to_pylist()] if shared else [frozenset(x or ()) for x in batch.column("bad").to_pylist()]
             kept = [without_lines(t, b) for t, b in zip(whole, bad)]
             left = n_words if kept == whole else np.diff(words_of(pa.array(kept, pa.string()))[0])
             failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n_words)
@@ -120,7 +118,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield columns(out, row=batch.column("row"), n_words=n_words, word_chars=chars[starts[1:]] - chars[starts[:-1]], n_symbols=pc.count_substring_regex(texts, SYMBOLS).cast(pa.int64()), n_dup_lines=[duplicate_lines(t or "") for t in whole], n_repeat_words=repeated, base_failed=failed, n_left=left, kept_text=kept)
 
     row = next(f.dataType.simpleString() for f in docs.schema if f.name == "row")
-    return docs.select("row", "text", "bad").mapInArrow(run, f"row {row}, {METRICS}")
+    return docs.select("row", "text", "host", "bad").mapInArrow(run, f"row {row}, {METRICS}")
 
 
 def judge(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text", host: str = "source", least: int = LEAST_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
@@ -132,13 +130,16 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text"
     sizes = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     frequent = checkpoint(frequent_lines(lines, sizes, least, share))
     if frequent.count() <= MOST_BROADCAST:
-        bad = F.broadcast(frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("bad")))
-        on: Column = rows["host"].eqNullSafe(bad["host"])
+        by_host: dict[str | None, set[int]] = {}
+        for r in frequent.collect():  # at most MOST_BROADCAST rows
+            by_host.setdefault(r["host"], set()).add(r["line"])
+        shared = docs.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in by_host.items()})
+        measured = measure(rows.withColumn("bad", F.lit(None).cast("array<long>")), shared)
     else:
         hit = lines.distinct().join(frequent.withColumnRenamed("host", "at"), ["line"]).where(F.col("host").eqNullSafe(F.col("at")))
-        bad = hit.groupBy("host", "text_hash").agg(F.sort_array(F.collect_list("line")).alias("bad"))
-        on = rows["host"].eqNullSafe(bad["host"]) & (rows["text_hash"] == bad["text_hash"])
-    measured = measure(rows.join(bad, on, "left").select("row", "text", "bad"))
+        bad = hit.groupBy("host", "text_hash").agg(F.collect_list("line").alias("bad"))
+        held = rows.join(bad, rows["host"].eqNullSafe(bad["host"]) & (rows["text_hash"] == bad["text_hash"]), "left")
+        measured = measure(held.select("row", "text", rows["host"], "bad"))
     depleted = F.col("n_left") < F.greatest(F.lit(1), F.lit(keep) * F.col("n_words"))
     return measured.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
