@@ -39,21 +39,25 @@ def bounds(groups: np.ndarray) -> zip:
     return zip([0, *cuts.tolist()] if len(groups) else [], [*cuts.tolist(), len(groups)])
 
 
-def deal(rows: DataFrame, weight: Column, *, most: int, per_task: int) -> DataFrame:
-    """`rows` (g, node, weight, ...) of groups g with two rows or more, with the task (shared, task, a, b) and side of each.
+def place(rows: DataFrame, tasks: int) -> DataFrame:
+    """`rows` (g, node, parts, ...) with the task (shared, task, a, b) and side of each; parts: into how many its group g is dealt.
 
     Where a and b differ, only pairs of side 0 with side 1 are that task's.
     """
+    rest = [c for c in rows.columns if c != "parts"]
+    part, shared = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts") == 1
+    task = F.when(shared, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.col("g"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part_", q).alias("a"), F.greatest("part_", q).alias("b")))
+    placed = rows.withColumn("part_", part).select(*rest, "part_", shared.alias("shared"), task.alias("task"), "parts").withColumn("p", F.explode(pairs))
+    return placed.select(*rest, "shared", "task", "p.a", "p.b", ((F.col("part_") == F.col("p.b")) & (F.col("p.a") != F.col("p.b"))).cast("int").alias("side"))
+
+
+def deal(rows: DataFrame, weight: Column, *, most: int, per_task: int) -> DataFrame:
+    """`rows` (g, node, ...) of groups with two rows or more, placed so that a part weighs about `most` and a shared task `per_task`."""
     sizes = rows.groupBy("g").agg(F.count("*").alias("held"), F.sum(weight).alias("weight_")).where("held > 1")
     sizes = checkpoint(sizes.select("g", "weight_", F.ceil(F.col("weight_") / F.lit(most)).cast("int").alias("parts")))
     total = sizes.agg(F.sum("weight_")).first()[0] or 0
-    tasks = max(partitions(rows.sparkSession), -(-int(total) // per_task))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part_", q).alias("a"), F.greatest("part_", q).alias("b")))
-    placed = rows.join(sizes.select("g", "parts"), "g").withColumn("part_", part)
-    shared = F.col("parts") == 1
-    task = F.when(shared, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.col("g"))
-    return placed.select(*rows.columns, "part_", shared.alias("shared"), task.alias("task"), F.explode(pairs).alias("p")).select(*rows.columns, "shared", "task", "p.a", "p.b", ((F.col("part_") == F.col("p.b")) & (F.col("p.a") != F.col("p.b"))).cast("int").alias("side"))
+    return place(rows.join(sizes.select("g", "parts"), "g"), max(partitions(rows.sparkSession), -(-int(total) // per_task)))
 
 
 TASK = ("shared", "task", "a", "b")

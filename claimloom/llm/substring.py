@@ -5,8 +5,8 @@ anchors, so the corpus can be sharded by anchor: a run of windows of one text wi
 shard with its words, and no window has an equal anywhere else. Anchors met once can't hold a repeated window and stay behind; equal
 segments are one with a count. Each shard builds an FM-index over its segments and streams them through it by backward search; the
 matching statistics, cut at the window, tell how often each window occurs, and windows that occur twice or more come back as bits.
-An anchor with more than `HOT` different segments would make its shard large; its windows are dealt out by hashes of whole windows
-(two of 64 bits) and counted instead.
+An anchor whose segments hold more than `SHARD_WORDS` words is dealt into parts, each with an index of its own; the segments of each
+part are streamed through the indexes of all others too, and a window found there or twice at home is repeated.
 
 Defined results: a null or empty text has no words and nothing is removed; repeated rows repeat each other's windows; a null id is
 kept; an empty table gives an empty result; other columns are ignored.
@@ -23,16 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.blocks import TASK, place
 from claimloom.llm.common import checkpoint, columns, partitions, slices, words_of
 from claimloom.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
-#: Different segments of one anchor past which its windows are dealt out; words that a shard holds, about.
-HOT, SHARD_WORDS = 5_000, 400_000
+#: Words that a shard holds, about, and past which an anchor is dealt into parts.
+SHARD_WORDS = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bases of the hashes of word sequences, odd so that they have an inverse modulo 2**64.
-_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+#: Base of the hashes of word sequences, odd so that it has an inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
@@ -51,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Sequences:
     """Hashes of any stretch of words, from running sums."""
 
-    def __init__(self, hashes: np.ndarray, base: int):
+    def __init__(self, hashes: np.ndarray, base: int = _BASE):
         n = len(hashes)
         powers = np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]).cumprod(dtype=np.uint64)
         self.inverse = np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]).cumprod(dtype=np.uint64)
@@ -83,7 +84,7 @@ def segments_of(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW, gr
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.append(first, len(at)))
     begin = at[first]
-    return doc[first], begin - starts[doc[first]], count, grams[anchor[first]], Sequences(hashes, _BASES[0])(begin, begin + count + window - 1)
+    return doc[first], begin - starts[doc[first]], count, grams[anchor[first]], Sequences(hashes)(begin, begin + count + window - 1)
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -100,55 +101,50 @@ def _segments(rows: DataFrame) -> DataFrame:
 
 
 def _words(asked: DataFrame) -> DataFrame:
-    """(key, seg, many, words) for each segment asked of a text: its words, joined by spaces."""
-    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("many", pa.bool_()), ("words", pa.string())])
+    """(key, seg, many, parts, words) for each segment asked of a text: its words, joined by spaces."""
+    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("many", pa.bool_()), ("parts", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             out: list[tuple] = []
             for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist()):
                 words = words_of(pa.array([text], pa.string()))[1].to_pylist()
-                out += ((w["key"], w["seg"], w["many"], " ".join(words[w["i"] : w["i"] + w["n"] + WINDOW - 1])) for w in want)
-            yield columns(schema, **dict(zip(schema.names, map(list, zip(*out)) if out else [[]] * 4)))
+                out += ((w["key"], w["seg"], w["many"], w["parts"], " ".join(words[w["i"] : w["i"] + w["n"] + WINDOW - 1])) for w in want)
+            yield columns(schema, **dict(zip(schema.names, map(list, zip(*out)) if out else [[]] * len(schema))))
 
-    return asked.select("text", "want").mapInArrow(run, "key long, seg long, many boolean, words string")
+    return asked.select("text", "want").mapInArrow(run, "key long, seg long, many boolean, parts int, words string")
+
+
+def occurrences(codes: np.ndarray, starts: np.ndarray, indexed: np.ndarray, streamed: np.ndarray) -> np.ndarray:
+    """How often the window at each place of `codes` occurs in the indexed texts, for places of the streamed ones."""
+    lengths, out = np.diff(starts), np.zeros(len(codes), np.int64)
+    inside = np.repeat(indexed, lengths)
+    dense = np.full(int(codes.max(initial=0)) + 1, -1, np.int64)
+    known = np.unique(codes[inside])
+    dense[known] = np.arange(1, len(known) + 1)
+    own = lengths[indexed]
+    joined = np.zeros(int(own.sum()) + len(own) + 1, np.int64)  # a 0 after each text, and one at the front
+    joined[np.arange(own.sum()) + np.repeat(np.arange(len(own)), own) + 1] = dense[codes[inside]]
+    if streamed.any() and len(own):
+        out = FMIndex(joined, WINDOW).matches(dense[codes], starts[:-1][streamed], lengths[streamed])
+    return out
 
 
 def search_shard(table: pa.Table) -> pa.Table:
     """(key, seg, mask) of a shard: for segments that are met once, a bit for each window that occurs twice or more."""
     starts, words = words_of(table.column("words").combine_chunks())
-    codes = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    lengths = np.diff(starts)
-    joined = np.zeros(len(codes) + len(lengths) + 1, np.int64)  # a 0 after each segment, and one at the front
-    joined[np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = codes
-    own = ~table.column("many").to_numpy()
-    index = FMIndex(joined, WINDOW)
-    begin = starts[:-1] + np.arange(len(lengths)) + 1
-    twice = index.matches(joined, begin[own], lengths[own]) >= 2
+    codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    lengths, own, side = np.diff(starts), ~table.column("many").to_numpy(), table.column("side").to_numpy() == 1
+    if side.any():  # two parts of one anchor, each searched in the other
+        twice = (occurrences(codes, starts, side, own & ~side) > 0) | (occurrences(codes, starts, ~side, own & side) > 0)
+    else:
+        twice = occurrences(codes, starts, np.ones(len(own), bool), own) >= 2
     masks = np.zeros(len(lengths), np.int64)
     for k in range(WINDOW - GRAM + 1):
         has = lengths >= WINDOW + k
-        masks[has] |= twice[begin[has] + k].astype(np.int64) << k
+        masks[has] |= twice[starts[:-1][has] + k].astype(np.int64) << k
     keep = own & (masks > 0)
-    return pa.table({"key": table.column("key").filter(pa.array(keep)), "seg": table.column("seg").filter(pa.array(keep)), "mask": pa.array(masks[keep].astype(np.int32))})
-
-
-def _windows(words: DataFrame) -> DataFrame:
-    """(key, seg, many, k, a, b): the windows of each segment by two hashes."""
-    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("many", pa.bool_()), ("k", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "words", 1 << 20):
-            starts, own = words_of(batch.column("words"))
-            n = np.diff(starts) - WINDOW + 1
-            row = np.repeat(np.arange(len(n)), n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, hashes = starts[:-1][row] + k, word_hashes(own)
-            a, b = (Sequences(hashes, base)(at, at + WINDOW).view(np.int64) for base in _BASES)
-            take = pa.array(row)
-            yield columns(schema, key=batch.column("key").take(take), seg=batch.column("seg").take(take), many=batch.column("many").take(take), k=k, a=a, b=b)
-
-    return words.mapInArrow(run, "key long, seg long, many boolean, k int, a long, b long")
+    return pa.table({"key": table.column("g").filter(pa.array(keep)), "seg": table.column("node").filter(pa.array(keep)), "mask": pa.array(masks[keep].astype(np.int32))})
 
 
 def repeated_segments(rows: DataFrame) -> DataFrame:
@@ -159,23 +155,14 @@ def repeated_segments(rows: DataFrame) -> DataFrame:
     met = checkpoint(segments.join(shared, "key", "left_semi"))
     distinct = met.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("rid", "i", "n")).alias("where"))
     distinct = checkpoint(distinct.select("key", "seg", "times", "where.*"))
-    kinds = checkpoint(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    varied = distinct.join(kinds, "key")
-    total = varied.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
-    asked = varied.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"))).alias("want"))
-    one_each = rows.select("rid", "text").join(asked, "rid")
-    words = _words(one_each)
-    hot = kinds.where(F.col("kinds") > HOT).select("key")
-    any_hot = bool(hot.take(1))
-    if any_hot:
-        words = checkpoint(words)
-    shards = max(partitions(spark), -(-total // SHARD_WORDS))
-    indexed = words.join(hot, "key", "left_anti") if any_hot else words
-    masks = indexed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: search_shard(t), "key long, seg long, mask int")
-    if any_hot:
-        windows = _windows(words.join(hot, "key", "left_semi"))
-        twice = windows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").select("a", "b")
-        masks = masks.union(windows.where("not many").join(twice, ["a", "b"], "left_semi").groupBy("key", "seg").agg(F.sum(F.lit(1).cast("long") * F.pow(F.lit(2.0), F.col("k"))).cast("int").alias("mask")))
+    kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + WINDOW - 1).alias("held")).where("kinds > 1")
+    kinds = checkpoint(kinds.select("key", "held", F.ceil(F.col("held") / F.lit(SHARD_WORDS)).cast("int").alias("parts")))
+    total = kinds.agg(F.sum("held")).first()[0] or 0
+    varied = distinct.join(kinds.select("key", "parts"), "key")
+    asked = varied.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"), "parts")).alias("want"))
+    words = _words(rows.select("rid", "text").join(asked, "rid"))
+    placed = place(words.select(F.col("key").alias("g"), F.col("seg").alias("node"), "many", "parts", "words"), max(partitions(spark), -(-total // SHARD_WORDS)))
+    masks = placed.groupBy(*TASK).applyInArrow(lambda t: search_shard(t), "key long, seg long, mask int").groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
     whole = distinct.where("times > 1").select("key", "seg", (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int").alias("mask"))
     return met.join(whole.union(masks), ["key", "seg"]).select("rid", "i", "mask")
 
