@@ -17,22 +17,24 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.blocks import TASK, bounds, deal
 from claimloom.llm.common import checkpoint, columns, partitions, slices
 from claimloom.llm.components import components
 
 SLOTS, OCTAVES, PERIOD, CLASSES, SEED = 32, 28, 2048, 64, 1
 #: Share of samples that are equal in unlike texts, from hashing to four bits and from the frequencies of letters.
 BY_CHANCE = 0.12
-#: Samples of a band; bands of the octave where a walk ends and of the one before.
-BAND = 8
+#: Samples of a band, drawn from all samples by their weight, and bands for each of the two greatest multiples of STEP samples that a walk
+#: has. At the stated likeness a sample agrees with a chance of 0.82 and a band with 0.82^8, so 32 bands all miss with 0.0006, 16 with 0.02.
+BAND, BANDS, STEP = 8, 16, 8
 LIKENESS = 0.8
 
 _rng = np.random.default_rng(SEED)
@@ -43,6 +45,8 @@ STEPS = np.stack([(ones := np.flatnonzero(row))[np.searchsorted(ones, np.arange(
 #: The places sampled, ascending, and what each stands for in steps.
 PLACES = np.concatenate([np.arange(SLOTS), *(np.sort(_rng.choice(SLOTS << k, SLOTS, replace=False) if k < 16 else np.unique(_rng.integers(0, SLOTS << k, 4 * SLOTS))[::4][:SLOTS]) + (SLOTS << k) for k in range(OCTAVES))]).astype(np.int64)
 WEIGHTS = np.concatenate([np.ones(SLOTS), *(np.full(SLOTS, float(1 << k)) for k in range(OCTAVES))])
+#: The places of the bands by the number of steps of samples that they are drawn from, made as they are needed.
+_places: dict[int, np.ndarray] = {}
 #: Lanes below which a walk goes on in plain Python, and steps between two gatherings of characters.
 FEW, STRIDE = 40, 256
 
@@ -204,46 +208,66 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def bands(fingerprint: str, band: int = BAND) -> list[str]:
-    """The bands of a fingerprint: runs of samples of the last whole octave and of the one before; short ones are one band."""
-    end, samples = from_text(fingerprint)
-    whole = len(samples) // SLOTS * SLOTS
-    body = fingerprint.partition("-")[2]
-    return [f"{at}:{body[at : at + band]}" for at in range(max(0, whole - 2 * SLOTS), whole, band)] or [f"short:{body}"]
+def band_keys(samples: np.ndarray) -> np.ndarray:
+    """The keys of a fingerprint's bands, of which what they cover is part; a walk of fewer samples than a step has one key for all."""
+    step = len(samples) // STEP
+    if not step:
+        return np.array([zlib.crc32(samples.tobytes(), len(samples))], np.int64)
+    out = []
+    for top in range(step, max(0, step - 2), -1):
+        if top not in _places:
+            share = WEIGHTS[: top * STEP] / WEIGHTS[: top * STEP].sum()
+            rng = np.random.default_rng((SEED, top))
+            _places[top] = np.stack([rng.choice(top * STEP, BAND, replace=False, p=share) for _ in range(BANDS)])
+        packed = (samples[_places[top]].astype(np.uint64) << (np.arange(BAND, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+        out.append((packed + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(top << 40)) * np.uint64(0xD6E8FEB86659FD93))
+    return np.concatenate(out).view(np.int64)
+
+
+def alike_in_task(table: pa.Table, least: float) -> pa.Table:
+    """Edges (u, v) of a spanning forest of the pairs of each group whose fingerprints reach the likeness."""
+    table = table.take(pa.array(np.argsort(table.column("g").to_numpy(), kind="stable")))
+    g, node, side = (table.column(c).to_numpy() for c in ("g", "node", "side"))
+    rows = [from_text(x)[1] for x in table.column("fingerprint").to_pylist()]
+    grid = np.full((len(rows), max(map(len, rows), default=0)), 16, np.uint8)
+    for i, x in enumerate(rows):
+        grid[i, : len(x)] = x
+    own, root = np.array([WEIGHTS[: len(x)].sum() for x in rows]), np.arange(len(rows))
+    u: list[int] = []
+    v: list[int] = []
+    for a, z in bounds(g):
+        across = side[a:z].any()
+        for i in range(a, z):
+            j = np.arange(a if across else i + 1, z)
+            j = j[(root[j] != root[i]) & ((side[j] == 1) | (not across))]
+            if (across and side[i]) or not len(j):
+                continue
+            equal = ((grid[j] == grid[i]) & (grid[j] < 16)) @ WEIGHTS[: grid.shape[1]]
+            like = j[(equal / np.maximum(own[j], own[i]) - BY_CHANCE) / (1 - BY_CHANCE) >= least]
+            for k in like[np.unique(root[like], return_index=True)[1]]:
+                u.append(i)
+                v.append(k)
+                part = root[a:z]
+                part[part == root[k]] = root[i]
+    return pa.table({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})
 
 
 def near_duplicates(docs: DataFrame, *, likeness_of: float = LIKENESS, most: int = 4096, **options) -> DataFrame:
     """(doc_id, class_id): texts whose fingerprints share a band and reach the likeness, and what is linked through them, are a class.
 
-    Distinct fingerprints alone are compared. A band with more than `most` of them is dealt into parts by hash, and every pair of parts
-    is a task of its own.
+    Distinct fingerprints alone are compared; the class of a group with no id has a null id.
     """
     prints = checkpoint(fingerprints(docs, **options).withColumn("h", F.xxhash64("fingerprint")))
     distinct = prints.groupBy("h").agg(F.first("fingerprint").alias("fingerprint"))
-    cut = F.udf(bands, "array<string>")
-    placed = distinct.select("h", "fingerprint", F.explode(cut("fingerprint")).alias("g"))
-    sizes = placed.groupBy("g").count().where("count > 1").select("g", F.ceil(F.col("count") / F.lit(most)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("a"), F.greatest("part", q).alias("b")))
-    dealt = placed.join(sizes, "g").withColumn("part", part).select("h", "fingerprint", "g", "part", F.explode(pairs).alias("p")).select("h", "fingerprint", "g", "p.a", "p.b", (F.col("part") == F.col("p.b")).alias("side"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [from_text(x) for x in group["fingerprint"]]
-        wide = max(len(s) for _, s in rows)
-        grid = np.full((len(rows), wide), 16, np.uint8)
-        for i, (_, s) in enumerate(rows):
-            grid[i, : len(s)] = s
-        own, root, out, h = np.array([WEIGHTS[: len(s)].sum() for _, s in rows]), np.arange(len(rows)), [], group["h"].to_numpy(np.int64)
-        for i in range(len(rows) - 1):
-            equal = ((grid[i + 1 :] == grid[i]) & (grid[i + 1 :] < 16)) @ WEIGHTS[:wide]
-            close = np.flatnonzero((equal / np.maximum(own[i + 1 :], own[i]) - BY_CHANCE) / (1 - BY_CHANCE) >= likeness_of) + i + 1
-            for k in close:
-                if root[k] != root[i]:  # a spanning forest holds the same classes as all links
-                    out.append((h[i], h[k]))
-                    root[root == root[k]] = root[i]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    roots = components(dealt.groupBy("g", "a", "b").applyInPandas(compare, "u long, v long"))
-    rooted = prints.join(roots.withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
+    schema = pa.schema([("node", pa.int64()), ("fingerprint", pa.string()), ("keys", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield columns(schema, node=batch.column("h"), fingerprint=batch.column("fingerprint"), keys=[band_keys(from_text(x)[1]) for x in batch.column("fingerprint").to_pylist()])
+
+    keyed = distinct.mapInArrow(cut, "node long, fingerprint string, keys array<long>")
+    placed = checkpoint(keyed.select(F.explode("keys").alias("g"), "node", "fingerprint"))
+    edges = deal(placed, F.lit(1), most=most, per_task=4 * most).groupBy(*TASK).applyInArrow(lambda t: alike_in_task(t, likeness_of), "u long, v long")
+    rooted = prints.join(components(edges).withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(named, "root").select("doc_id", "class_id")
