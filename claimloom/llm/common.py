@@ -25,10 +25,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local run without one gets its own."""
+    """The folder that spark.checkpoint.dir names; a local run without one gets its own, a cluster has no folder to fall back on."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 

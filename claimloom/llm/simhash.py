@@ -182,7 +182,7 @@ def near_in_task(table: pa.Table, radius: int, least: float) -> pa.Table:
 
 
 def alike(nodes: DataFrame, texts: DataFrame, least: float, radius: int, shingle: int) -> DataFrame:
-    """Edges (u, v) among rows (node, size, fp, keys), whose components are those of all pairs alike to `least` that share a block.
+    """Edges (u, v) among rows (node, id, size, fp, keys), whose components are those of all pairs alike to `least` that share a block.
 
     In each block fingerprints are compared by tiles. What hangs together by that is a group whose shingles are read and compared; a
     text is in one such group only, and neither step returns more than a forest.
@@ -190,8 +190,8 @@ def alike(nodes: DataFrame, texts: DataFrame, least: float, radius: int, shingle
     placed = nodes.select(F.explode("keys").alias("g"), "node", "size", "fp")
     dealt = deal(placed, F.lit(1), most=MOST, per_task=4 * MOST)
     near = dealt.groupBy(*TASK).applyInArrow(lambda t: near_in_task(t, radius, least), "u long, v long")
-    groups = checkpoint(components(near).distinct().join(nodes.select("node", "size", "fp"), "node"))
-    read = texts.select("node", "text").join(groups.select("node", F.col("root").alias("g"), "size", "fp"), "node").dropDuplicates(["node"])
+    groups = checkpoint(components(near).distinct().join(nodes.select("node", "id", "size", "fp"), "node"))
+    read = texts.join(groups.select("node", "id", F.col("root").alias("g"), "size", "fp"), ["node", "id"]).dropDuplicates(["node"])  # one copy of each text is read
     sets = checkpoint(likeness.shingle_sets(read, shingle))
     return deal(sets, F.col("size"), most=PART_SHINGLES, per_task=2 * PART_SHINGLES).groupBy(*TASK).applyInArrow(lambda t: likeness.alike_in_task(t, least, radius), "u long, v long")
 

@@ -65,6 +65,28 @@ def test_fingerprint_near_duplicates(spark):
     assert all(got[d] == d // 10 * 10 for d, *_ in rows)
 
 
+def test_bands_find_the_pairs_at_the_likeness(spark):
+    """Of all pairs at the stated likeness, by the share of characters that were edited, 0.9 at least are in one class."""
+    rng, rows = random.Random(14), []
+    letter = lambda: rng.choice("etaoin shrdlu")
+    for k in range(240):
+        chars = [letter() for _ in range(rng.randrange(300, 3000))]
+        rows.append((2 * k, "".join(chars), "en", "s", 0))
+        for _ in range(max(1, int(len(chars) * (0.0005, 0.002, 0.005, 0.01)[k % 4]))):
+            i = rng.randrange(len(chars))
+            chars[i : i + 1] = rng.choice([[], [letter()], [chars[i], letter()]])
+        rows.append((2 * k + 1, "".join(chars), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    prints = {r.doc_id: fingerprint.from_text(r.fingerprint) for r in fingerprint.fingerprints(docs).collect()}
+    got = {r.doc_id: r.class_id for r in fingerprint.near_duplicates(docs).collect()}
+    pairs = [(a, b) for a in prints for b in prints if a < b and fingerprint.likeness(prints[a], prints[b]) >= fingerprint.LIKENESS]
+    assert len(pairs) >= 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    classes = collections.Counter(got.values())
+    assert max(classes.values()) == 2 and all(c // 2 == d // 2 for d, c in got.items())
+    odd = {r.doc_id: r.class_id for r in fingerprint.near_duplicates(odd_documents(spark)).collect()}
+    assert odd[0] == odd[4] == 0 and odd[1] == odd[2] == 1 and fingerprint.near_duplicates(empty_documents(spark)).count() == 0
+
+
 def test_index_counts_every_stretch():
     rng = np.random.default_rng(0)
     for depth in (1, 2, 5, 8):
@@ -80,9 +102,9 @@ def test_index_counts_every_stretch():
                 assert found[s + i] == (sum((x[k : k + depth] == w).all() for x in texts for k in range(len(x) - depth + 1)) if len(w) == depth else 0)
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
-def test_substring_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize("most", [400_000, 150])
+def test_substring_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(substring, "SHARD_WORDS", most)
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(400)}"
     passage = " ".join(word() for _ in range(60))
@@ -119,6 +141,17 @@ def test_quality_base_and_lines(spark):
         lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(twice))
         assert r.base_failed == (len(w) < 10 or 100 * len(twice) > 20 * len(w))
+    flat = lambda x: " ".join(re.sub("[0-9]", "0", x.lower()).split())
+    texts = {(r.source, r.text) for r in docs.collect()}
+    hosts = collections.Counter(h for h, _ in texts)
+    held = collections.Counter((h, x) for h, t in texts for x in {flat(x) for x in (t or "").split("\n")} if x)
+    source = {(r.doc_id, r.text): r.source for r in docs.collect()}
+    for r in got:
+        (t,) = by_text[r.doc_id]
+        h = source[r.doc_id, t]
+        left = [x for x in (t or "").split("\n") if not (held[h, flat(x)] > quality.LEAST_DOCS and held[h, flat(x)] > quality.SHARE * hosts[h])]
+        n_left = len(re.findall(WORD, "\n".join(left)))
+        assert r.n_left == n_left and r.kept == (not r.base_failed and n_left >= max(1, quality.KEEP * r.n_words))
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[1000 + k] for k in range(30)) and not kept[2000] and kept[2001]
     clean = {r.doc_id: r for r in quality.clean(docs).collect()}
@@ -222,5 +255,12 @@ def test_toxicity_learns_misspellings(spark):
     # one unseen misspelling among 80 words, learned from some 400 documents; chance is 0.5
     auc = np.mean([got[10_000 + a].score > got[10_000 + b].score for a in range(1, 40, 2) for b in range(0, 40, 2)])
     assert auc > 0.75 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    texts, marks = toxicity.sample(docs, labels)
+    assert len(texts) == len(marks) < 600
+    model = toxicity.train(texts, marks)
+    for r in docs.limit(20).collect():  # the score from the layers as they are: mean of words' mean embeddings, softmax
+        words = [model.embedding[toxicity.ngrams(w)].astype(float).mean(axis=0) for w in r.text.split()]
+        logits = toxicity.GAIN * np.mean(words, axis=0) @ model.weights + model.bias
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(logits[0] - logits[1]))) < 1e-4
     odd = toxicity.score_documents(odd_documents(spark), labels).collect()
     assert len(odd) == odd_documents(spark).count() and toxicity.score_documents(empty_documents(spark), labels).count() == 0

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from claimloom.llm import sharding
@@ -16,6 +17,22 @@ def test_jump_moves_rows_only_into_the_new_shard(spark):
     assert set(held) == set(range(8)) and min(held.values()) > 2250 and max(held.values()) < 2750
 
 
+def brute_shard(key, shards, seed=7):
+    """Jumps from shard to shard until the next one lies past the last."""
+    hashed = lambda value, size, start: xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), start)
+    at, following, i = -1, 0, 0
+    while following < shards:
+        at, i = following, i + 1
+        draw = ((hashed(seed, 4, hashed(i, 4, hashed(key, 8, 42))) >> 11) + 1) / 2**53
+        following = int((at + 1) / draw)
+    return at
+
+
+def test_shards_against_brute_force(spark):
+    for r in spark.range(3000).select("id", sharding.jump_shard(F.col("id"), 8).alias("s"), sharding.jump_shard(F.col("id"), 1000).alias("t")).collect():
+        assert (r.s, r.t) == (brute_shard(r.id, 8), brute_shard(r.id, 1000))
+
+
 def test_slots_and_digests(spark):
     docs = odd_documents(spark)
     rows = sharding.shard_documents(docs).collect()
