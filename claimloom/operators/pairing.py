@@ -9,10 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.forms import normalise_form
+from claimloom.functions.units import normalise_strength
+
 #: Weights of drug, strength and form, and the score that a pair must exceed.
 WEIGHTS, THRESHOLD = (0.60, 0.25, 0.15), 0.55
 
 
+def normalised(lines: DataFrame) -> DataFrame:
+    """Lines with their strengths in base units and their forms by one name."""
+    strength = normalise_strength(F.col("strength_value"), F.col("strength_unit"))
+    return lines.withColumns({"strength_value": strength["value"], "strength_unit": F.when(F.col("strength_value").isNotNull() | F.col("strength_unit").isNotNull(), strength["unit"]), "form": normalise_form(F.col("form"))})
+
+
 def strengths_equal(a: str, b: str) -> Column:
     """Units equal, both missing counting as equal, and values within 1e-6."""
     return F.col(f"{a}.strength_unit").eqNullSafe(F.col(f"{b}.strength_unit")) & (F.abs(F.col(f"{a}.strength_value") - F.col(f"{b}.strength_value")) < 1e-6)
@@ -20,7 +29,7 @@ def strengths_equal(a: str, b: str) -> Column:
 
 def similarity(rx: DataFrame, bill: DataFrame) -> DataFrame:
     """(scan_id, rx_item, bill_item, score) for all lines of a scan; a line without a salt is unresolved and scores 0 for its drug."""
-    r, b = rx.alias("r"), bill.alias("b")
+    r, b = normalised(rx).alias("r"), normalised(bill).alias("b")
     resolved = F.col("r.salt").isNotNull() & F.col("b.salt").isNotNull()
     same = resolved & ((F.col("r.drug_name") == F.col("b.drug_name")) | (F.col("r.salt") == F.col("b.salt")))
     score = sum(w * F.coalesce(c, F.lit(False)).cast("double") for w, c in zip(WEIGHTS, (same, strengths_equal("r", "b"), F.col("r.form") == F.col("b.form"))))

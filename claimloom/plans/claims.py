@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BILL_ITEMS = """
-SELECT n.l_orderkey AS scan_id, CAST(n.rn AS INT) AS ordinal, concat('bill-', CAST(n.rn AS STRING)) AS item_id, n.l_linenumber AS linenumber,
+SELECT n.l_orderkey AS scan_id, CAST(n.rn AS INT) AS ordinal, concat('bill-', lpad(CAST(n.rn AS STRING), 2, '0')) AS item_id, n.l_linenumber AS linenumber,
   p.p_brand AS drug_name, CASE WHEN n.l_partkey % 13 = 0 THEN NULL ELSE p.p_name END AS salt, p.p_type AS therapeutic_class,
   CASE WHEN n.l_partkey % 9 = 0 THEN NULL ELSE CAST(p.p_size AS DOUBLE) END AS strength_value,
-  CASE WHEN n.l_partkey % 8 = 0 THEN NULL WHEN n.l_partkey % 5 = 0 THEN 'ml' ELSE 'mg' END AS strength_unit,
-  CASE WHEN n.l_partkey % 4 = 0 THEN 'tablet' WHEN n.l_partkey % 4 = 1 THEN 'capsule' WHEN n.l_partkey % 4 = 2 THEN 'syrup' END AS form,
+  CASE WHEN n.l_partkey % 8 = 0 THEN NULL WHEN n.l_partkey % 5 = 0 THEN 'ml' WHEN n.l_partkey % 7 = 3 THEN 'MG.' ELSE 'mg' END AS strength_unit,
+  CASE WHEN n.l_partkey % 4 = 0 AND n.l_linenumber = 1 THEN 'Tabs' WHEN n.l_partkey % 4 = 0 THEN 'tablet' WHEN n.l_partkey % 4 = 1 THEN 'capsule' WHEN n.l_partkey % 4 = 2 THEN 'syrup' END AS form,
   CASE WHEN n.rn % 6 = 0 THEN NULL ELSE CAST(n.l_quantity AS INT) END AS quantity,
   CAST(CAST(floor(round(n.l_extendedprice * 100) / n.l_quantity) AS BIGINT) AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS unit_price,
   CASE WHEN n.l_linenumber = 4 THEN CAST(1.00 AS DECIMAL(5,2)) END AS discount,
-  CASE WHEN n.l_partkey % 17 = 0 THEN NULL ELSE CAST(CAST(round(n.l_extendedprice * 100) AS BIGINT) + CASE WHEN n.l_linenumber = 3 THEN 250 WHEN n.l_linenumber = 5 THEN -9000 ELSE 0 END AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) END AS line_total,
+  CASE WHEN n.l_partkey % 17 = 0 THEN NULL WHEN n.l_linenumber = 6 AND n.l_partkey % 6 = 0 THEN CAST(CAST(floor(round(n.l_extendedprice * 100) / 10) AS BIGINT) AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) ELSE CAST(CAST(round(n.l_extendedprice * 100) AS BIGINT) + CASE WHEN n.l_linenumber = 3 THEN 250 WHEN n.l_linenumber = 5 THEN -9000 ELSE 0 END AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) END AS line_total,
   CASE WHEN n.l_partkey % 10 = 0 THEN NULL ELSE CAST(n.l_shipdate AS DATE) END AS expiry,
-  CASE WHEN n.l_linenumber = 2 THEN 0.67 ELSE 1.0 END AS name_agreement
+  CASE WHEN n.l_linenumber = 2 THEN 0.67 ELSE 1.0 END AS name_agreement, CASE WHEN n.l_partkey % 6 = 0 THEN 10 END AS per_pack, CASE WHEN n.l_partkey % 18 = 0 THEN 'unit' END AS units_basis,
+  CASE WHEN n.l_partkey % 21 = 5 THEN 'Hand soap 75g' WHEN n.l_partkey % 21 = 6 THEN 'strip of 10' ELSE p.p_name END AS raw_text
 FROM (
   SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS rn
   FROM {lineitem} l
@@ -27,9 +28,10 @@ FROM (
 """
 
 RX_ITEMS = f"""
-SELECT scan_id, ordinal, concat('rx-', CAST(ordinal AS STRING)) AS item_id,
-  CASE WHEN (scan_id + ordinal) % 11 = 0 THEN concat(drug_name, ' Forte') ELSE drug_name END AS drug_name, salt, therapeutic_class,
-  CASE WHEN (scan_id + ordinal) % 5 = 0 THEN strength_value + 5 ELSE strength_value END AS strength_value, strength_unit,
+SELECT scan_id, ordinal, concat('rx-', lpad(CAST(ordinal AS STRING), 2, '0')) AS item_id,
+  CASE WHEN scan_id % 29 = 0 OR (scan_id + ordinal) % 13 = 0 THEN NULL WHEN (scan_id + ordinal) % 11 = 0 THEN concat(drug_name, ' Forte') ELSE drug_name END AS drug_name, salt, therapeutic_class,
+  CASE WHEN (scan_id + ordinal) % 5 = 0 THEN strength_value + 5 WHEN (scan_id + ordinal) % 10 = 3 AND strength_unit = 'mg' THEN strength_value / 1000 ELSE strength_value END AS strength_value,
+  CASE WHEN (scan_id + ordinal) % 10 = 3 AND strength_unit = 'mg' THEN 'gm' ELSE strength_unit END AS strength_unit,
   CASE WHEN (scan_id + ordinal) % 6 = 0 THEN 'drops' ELSE form END AS form, name_agreement
 FROM ({BILL_ITEMS}) b WHERE (scan_id + ordinal) % 7 <> 0
 """
@@ -41,10 +43,15 @@ SELECT o.o_orderkey AS scan_id, o.o_custkey AS employee_number, c.c_name AS empl
   CASE WHEN o.o_orderkey % 45 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) - CAST(o.o_orderkey % 41 - 4 AS INT) END AS rx_date, CAST(o.o_orderdate AS DATE) AS created_on,
   CASE WHEN o.o_orderstatus = 'F' THEN 'reviewed' WHEN o.o_orderstatus = 'O' THEN 'submitted' ELSE 'under_review' END AS review_status,
   CAST(CAST(round(o.o_totalprice * 100) AS BIGINT) AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS claimed_amount,
-  CAST(o.o_orderkey % 977 + 100 AS INT) AS processing_ms, CAST(7 + o.o_orderkey % 60 AS INT) AS course_days
+  CAST(o.o_orderkey % 977 + 100 AS INT) AS processing_ms, CAST(7 + o.o_orderkey % 60 AS INT) AS course_days,
+  CASE WHEN o.o_orderkey % 31 = 0 THEN '3,3,2' WHEN o.o_orderkey % 8 = 0 THEN '3' ELSE '3,3,3' END AS rx_runs, CASE WHEN o.o_orderkey % 43 = 0 THEN '5,4,5' WHEN o.o_orderkey % 10 = 0 THEN '' ELSE '5,5,5' END AS bill_runs
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 
+#: Units and forms as the SQL side normalises them; the other side has functions for it.
+_NORMAL = """*, raw_value * CASE WHEN raw_unit IN ('g', 'gm') THEN 1000 ELSE 1 END AS strength_value, CASE replace(lower(trim(raw_unit)), '.', '') WHEN 'gm' THEN 'mg' ELSE replace(lower(trim(raw_unit)), '.', '') END AS strength_unit,
+  CASE lower(trim(raw_form)) WHEN 'tabs' THEN 'tablet' ELSE lower(trim(raw_form)) END AS form FROM (SELECT * EXCLUDE (strength_value, strength_unit, form), strength_value AS raw_value, strength_unit AS raw_unit, form AS raw_form"""
+
 _TABLES = ("lineitem", "part", "orders", "customer", "supplier", "events")
 
 
@@ -59,6 +66,11 @@ def plain(sql: str) -> str:
     return sql.format(**{t: t for t in _TABLES})
 
 
+def normal(sql: str) -> str:
+    """`plain`, with strengths and forms normalised."""
+    return f"SELECT {_NORMAL} FROM ({plain(sql)}) raw) named"
+
+
 def bill_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, BILL_ITEMS)
 

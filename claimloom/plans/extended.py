@@ -64,7 +64,7 @@ def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counterpart_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rx, bill = rx_items(spark, sf_dir), bill_items(spark, sf_dir)
     pairs = rx.where("ordinal % 3 <> 0").select("scan_id", "ordinal", F.col("item_id").alias("rx_item")).join(bill.select("scan_id", "ordinal", F.col("item_id").alias("bill_item")), ["scan_id", "ordinal"])
-    return counterparts.unmatched_findings(pairing.unmatched(rx, pairs, "rx_item"), pairing.unmatched(bill, pairs, "bill_item"))
+    return counterparts.unmatched_findings(pairing.unmatched(rx, pairs, "rx_item"), pairing.unmatched(bill, pairs, "bill_item")).drop("check_name", "detail")
 
 
 def quantity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verdicts(whole_findings(spark, sf_dir), rx_items(spark, sf_dir))
+    return rules.verdicts(whole_findings(spark, sf_dir), rx_items(spark, sf_dir), scans(spark, sf_dir))
 
 
 def whole_rule_histogram_top20(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text
 from claimloom.operators import history, pairing, rules
-from claimloom.plans.claims import BILL_ITEMS, RX_ITEMS, SCANS, bill_items, plain, rx_items, scans
+from claimloom.plans.claims import BILL_ITEMS, RX_ITEMS, SCANS, bill_items, normal, plain, rx_items, scans
 
-WITH = f"WITH bill AS ({plain(BILL_ITEMS)}), rx AS ({plain(RX_ITEMS)}), scans AS ({plain(SCANS)})"
+WITH = f"WITH bill AS ({normal(BILL_ITEMS)}), rx AS ({normal(RX_ITEMS)}), scans AS ({plain(SCANS)})"
 #: Lines paired by their place in the order; the assignment itself isn't expressed in SQL.
 SAME_PLACE = "pairs AS (SELECT r.scan_id, r.item_id AS rx_item, b.item_id AS bill_item FROM rx r JOIN bill b ON r.scan_id = b.scan_id AND r.ordinal = b.ordinal)"
 
@@ -21,6 +21,10 @@ def same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(b, (F.col("r.scan_id") == F.col("b.scan_id")) & (F.col("r.ordinal") == F.col("b.ordinal"))).select("r.scan_id", F.col("r.item_id").alias("rx_item"), F.col("b.item_id").alias("bill_item"))
 
 
+def _plain_findings(found: DataFrame) -> DataFrame:
+    return found.drop("check_name", "detail")
+
+
 def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.similarity(rx_items(spark, sf_dir), bill_items(spark, sf_dir))
 
@@ -34,35 +38,35 @@ def unmatched_billed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strength_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.strength_and_form(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir))
+    return _plain_findings(rules.strength_and_form(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir)))
 
 
 def line_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.line_arithmetic(bill_items(spark, sf_dir))
+    return _plain_findings(rules.line_arithmetic(bill_items(spark, sf_dir)))
 
 
 def date_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.document_dates(scans(spark, sf_dir))
+    return _plain_findings(rules.document_dates(scans(spark, sf_dir)))
 
 
 def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.expiry(bill_items(spark, sf_dir), scans(spark, sf_dir))
+    return _plain_findings(rules.expiry(bill_items(spark, sf_dir), scans(spark, sf_dir)))
 
 
 def duplicate_therapy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.duplicate_therapy(bill_items(spark, sf_dir))
+    return _plain_findings(rules.duplicate_therapy(bill_items(spark, sf_dir)))
 
 
 def low_confidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.low_confidence(rx_items(spark, sf_dir), billed=False).union(rules.low_confidence(bill_items(spark, sf_dir), billed=True))
+    return _plain_findings(rules.low_confidence(rx_items(spark, sf_dir), billed=False).union(rules.low_confidence(bill_items(spark, sf_dir), billed=True)))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.all_findings(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir))
+    return _plain_findings(rules.all_findings(same_place(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir)))
 
 
 def verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verdicts(findings(spark, sf_dir), rx_items(spark, sf_dir))
+    return rules.verdicts(findings(spark, sf_dir), rx_items(spark, sf_dir), scans(spark, sf_dir))
 
 
 def rule_histogram_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +125,8 @@ _JUDGED = """judged AS (
   FROM pairs p JOIN rx r ON p.scan_id = r.scan_id AND p.rx_item = r.item_id JOIN bill b ON p.scan_id = b.scan_id AND p.bill_item = b.item_id)"""
 _ARITHMETIC = """
 SELECT scan_id, 'LINE_TOTAL_MISMATCH' AS rule_code, 'warning' AS severity, CAST(NULL AS VARCHAR) AS prescribed_ref, item_id AS billed_ref FROM (
-  SELECT *, quantity * unit_price AS gross, quantity * unit_price - coalesce(discount, 0) - line_total AS short FROM bill WHERE quantity IS NOT NULL AND line_total IS NOT NULL
-) WHERE abs(short) > 0.05 AND NOT (short > 0 AND discount IS NULL AND CAST(short AS DOUBLE) <= 0.3 * CAST(gross AS DOUBLE))
+  SELECT *, quantity * unit_price AS gross, quantity * unit_price - coalesce(discount, 0) - line_total AS short, round_even(CAST(quantity * unit_price AS DOUBLE) / per_pack, 2) - CAST(coalesce(discount, 0) AS DOUBLE) - CAST(line_total AS DOUBLE) AS packed FROM bill WHERE quantity IS NOT NULL AND line_total IS NOT NULL
+) WHERE abs(short) > 0.05 AND NOT coalesce(units_basis IS DISTINCT FROM 'unit' AND abs(packed) <= 0.050001, false) AND NOT (short > 0 AND discount IS NULL AND CAST(short AS DOUBLE) <= 0.3 * CAST(gross AS DOUBLE))
 UNION ALL SELECT DISTINCT scan_id, 'CHECK_UNAVAILABLE', 'info', NULL, NULL FROM bill WHERE quantity IS NULL OR line_total IS NULL"""
 _DATES = """
 SELECT scan_id, CASE WHEN lag IS NULL THEN 'CHECK_UNAVAILABLE' ELSE 'DATE_ANOMALY' END AS rule_code, CASE WHEN lag IS NULL THEN 'info' ELSE 'warning' END AS severity, CAST(NULL AS VARCHAR) AS prescribed_ref, CAST(NULL AS VARCHAR) AS billed_ref
@@ -150,7 +154,8 @@ ORACLE: dict[str, str] = {
     "duplicate_therapy": f"{WITH} {_THERAPY}",
     "low_confidence_items": f"{WITH} {_LOW}",
     "findings": f"{ALL} SELECT * FROM found",
-    "verdict_score": f"""{ALL}, names AS (SELECT scan_id, avg(CASE WHEN salt IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 OR avg(name_agreement) < 0.67 AS unclear FROM rx GROUP BY scan_id),
+    "verdict_score": f"""{ALL}, read AS (SELECT scan_id, avg(CASE WHEN drug_name IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 OR avg(name_agreement) < 0.67 AS unclear FROM rx GROUP BY scan_id),
+      names AS (SELECT s.scan_id, coalesce(unclear, false) OR rx_runs = '3,3,2' OR bill_runs = '5,4,5' AS unclear FROM scans s LEFT JOIN read USING (scan_id)),
       counts AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (rule_code = 'CHECK_UNAVAILABLE') AS u FROM found GROUP BY scan_id)
       SELECT n.scan_id, coalesce(c, 0) AS critical_count, coalesce(w, 0) AS warning_count, coalesce(u, 0) AS unavailable_count, CASE WHEN unclear THEN 'inconclusive' WHEN c > 0 THEN 'mismatch' WHEN w > 0 THEN 'match_with_warnings' ELSE 'match' END AS verdict,
         CASE WHEN NOT unclear THEN greatest(0, 100 - 25 * coalesce(c, 0) - 8 * coalesce(w, 0)) END AS score FROM names n LEFT JOIN counts USING (scan_id)""",
