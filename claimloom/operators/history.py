@@ -22,9 +22,9 @@ def early_repeats(scans: DataFrame, lines: DataFrame) -> DataFrame:
 def duplicate_bills(scans: DataFrame) -> DataFrame:
     """The earliest other scan with the same pharmacy and bill number, compared letters and digits alone, and how many there are."""
     keyed = scans.withColumn("no", F.lower(F.regexp_replace("bill_no", r"[^\p{L}\p{N}]", ""))).where("no <> ''")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.pharmacy_name") == F.col("b.pharmacy_name")) & (F.col("a.no") == F.col("b.no")) & (F.struct(F.col("b.created_on"), F.col("b.scan_id")) < F.struct(F.col("a.created_on"), F.col("a.scan_id"))))
-    return met.groupBy(F.col("a.scan_id").alias("scan_id")).agg(F.min_by(F.col("b.scan_id"), F.struct(F.col("b.created_on"), F.col("b.scan_id"))).alias("first_scan_id"), F.count("*").alias("earlier_scans"))
+    order = Window.partitionBy("pharmacy_name", "no").orderBy("created_on", "scan_id")
+    placed = keyed.withColumn("first_scan_id", F.first("scan_id").over(order)).withColumn("earlier_scans", F.row_number().over(order) - 1)
+    return placed.where("earlier_scans > 0 AND pharmacy_name IS NOT NULL").select("scan_id", "first_scan_id", F.col("earlier_scans").cast("bigint").alias("earlier_scans"))
 
 
 def line_overlap(scans: DataFrame, lines: DataFrame, least: float = 0.80) -> DataFrame:
@@ -81,3 +81,53 @@ def frequent_codes(findings: DataFrame, scans: DataFrame, newest: int = 20) -> D
     """How often each code of a warning or worse occurs in the newest scans."""
     top = scans.orderBy(F.desc("created_on"), F.desc("scan_id")).limit(newest).select("scan_id")
     return findings.where(F.col("severity").isin("critical", "warning")).join(F.broadcast(top), "scan_id").groupBy("rule_code").agg(F.count("*").alias("n"))
+
+
+#: Likeness from which two pharmacies or patients are one, and earlier scans below which finding none says little.
+SAME_NAME, MEANINGFUL = 85.0, 5
+
+
+def like_names(names: DataFrame, column: str, least: float = SAME_NAME) -> DataFrame:
+    """(name, other) of distinct names that are the same by the order-free likeness, each with itself too.
+
+    Names that are alike to 85 share a letter pair of their sorted tokens; such pairs alone are compared, as in `resolution.alike`.
+    """
+    from claimloom.functions.fuzzy import token_sort_ratio
+
+    each = names.select(F.lower(F.trim(column)).alias("name")).where("name <> ''").distinct()
+    tokens = F.array_join(F.array_sort(F.split("name", r"\s+")), " ")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (k - 1))), lambda i: F.substring(F.col("t"), i, F.lit(k)))
+    placed = each.withColumn("t", tokens).select("name", F.explode(F.array_distinct(F.when(F.length("t") <= 3, F.concat(cut(1), cut(2))).otherwise(cut(2)))).alias("piece"))
+    pairs = placed.join(placed.withColumnRenamed("name", "other"), "piece").where("name <> other").select("name", "other").distinct()
+    return pairs.where(token_sort_ratio("name", "other") >= least).union(each.select("name", F.col("name").alias("other")))
+
+
+def resubmissions(scans: DataFrame, lines: DataFrame, *, pharmacies: DataFrame | None = None, least_overlap: float = 0.80) -> DataFrame:
+    """(scan_id, rule_code, prior_scan_id, method, others, changed): the earliest other bill that this one repeats, and what changed since.
+
+    First bills of the same number and pharmacy are met; where none is, those of the pharmacy and day whose lines overlap. A bill with
+    differences may be a corrected one. `pharmacies` has (name, other) of alike names; without it names must be equal. Scans are met
+    with earlier ones alone.
+    """
+    fold = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    keyed = scans.select("scan_id", "created_on", "bill_date", "claimed_amount", F.lower(F.trim("pharmacy_name")).alias("pharmacy"), fold(F.col("bill_no")).alias("no"))
+    wide = keyed.withColumn("shop", F.col("pharmacy")) if pharmacies is None else keyed.join(pharmacies.select(F.col("name").alias("pharmacy"), F.col("other").alias("shop")), "pharmacy")
+    earlier = lambda a, b: F.struct(F.col(f"{b}.created_on"), F.col(f"{b}.scan_id")) < F.struct(F.col(f"{a}.created_on"), F.col(f"{a}.scan_id"))
+    a, b = wide.alias("a"), keyed.alias("b")
+    by_number = a.where("no <> ''").alias("a").join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.shop") == F.col("b.pharmacy")) & earlier("a", "b")).select(F.col("a.scan_id").alias("scan_id"), F.col("b.scan_id").alias("prior"), F.col("b.created_on").alias("at"), F.lit("number").alias("method"))
+    names = lines.select("scan_id", fold(F.col("drug_name")).alias("n"), "line_total").where("n <> ''")
+    sets = names.groupBy("scan_id").agg(F.collect_set("n").alias("names"), F.count("*").alias("held"))
+    rest = wide.join(by_number.select("scan_id").distinct(), "scan_id", "left_anti").join(sets, "scan_id").alias("a")
+    on_day = rest.join(keyed.join(sets, "scan_id").alias("b"), (F.col("a.shop") == F.col("b.pharmacy")) & (F.col("a.bill_date") == F.col("b.bill_date")) & earlier("a", "b"))
+    share = F.size(F.array_intersect("a.names", "b.names")) / F.greatest(F.size("a.names"), F.size("b.names"))
+    by_lines = on_day.where(share >= least_overlap).select(F.col("a.scan_id").alias("scan_id"), F.col("b.scan_id").alias("prior"), F.col("b.created_on").alias("at"), F.lit("lines").alias("method"))
+    first = by_number.union(by_lines).groupBy("scan_id").agg(F.min_by("prior", F.struct("at", "prior")).alias("prior_scan_id"), F.first("method").alias("method"), F.count("*").alias("met"))
+    totals = names.groupBy("scan_id", "n").agg(F.max("line_total").alias("amount"))
+    now = first.select("scan_id", "prior_scan_id").join(totals, "scan_id")
+    then = first.select("scan_id", "prior_scan_id").join(totals.select(F.col("scan_id").alias("prior_scan_id"), F.col("n"), F.col("amount").alias("was")), "prior_scan_id")
+    changed = now.select("scan_id", "n", F.col("amount"), F.lit(True).alias("has")).join(then.select("scan_id", "n", "was", F.lit(True).alias("had")), ["scan_id", "n"], "full")
+    lines_changed = changed.where(F.col("has").isNull() | F.col("had").isNull() | (F.col("amount") != F.col("was"))).groupBy("scan_id").agg(F.count("*").alias("changed_lines"))
+    sizes = keyed.join(sets.select("scan_id", "held"), "scan_id", "left").select("scan_id", "claimed_amount", "held")
+    told = first.join(lines_changed, "scan_id", "left").join(sizes, "scan_id").join(sizes.select(F.col("scan_id").alias("prior_scan_id"), F.col("claimed_amount").alias("was_amount"), F.col("held").alias("was_held")), "prior_scan_id")
+    differs = F.coalesce("changed_lines", F.lit(0)) + F.coalesce((F.col("claimed_amount") != F.col("was_amount")).cast("long"), F.lit(0)) + (~F.col("held").eqNullSafe(F.col("was_held"))).cast("long")
+    return told.select("scan_id", F.when(differs > 0, "POSSIBLE_RESUBMISSION").otherwise("DUPLICATE_BILL").alias("rule_code"), "prior_scan_id", "method", (F.col("met") - 1).alias("others"), differs.alias("changed"))

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 
 from claimloom.operators.pairing import best_assignment
-from claimloom.plans import extended, registry
+from claimloom.plans import documents, extended, registry, words
 
 SF = "/root/testdata/sf0.001"
-QUERIES = registry.queries() | {f.__name__: f for f in extended.QUERIES}
-ORACLE = registry.ORACLE | extended.ORACLE
+PARTS = (extended, words, documents)
+QUERIES = registry.queries() | {f.__name__: f for part in PARTS for f in part.QUERIES}
+ORACLE = registry.ORACLE | {k: v for part in PARTS for k, v in part.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")
