@@ -98,7 +98,7 @@ def gstin_problem(raw: Column) -> Column:
     """length, pattern, state or check_digit, the first that fails; null for a number that is well formed or not printed."""
     number = cleaned_gstin(raw)
     failed = F.when(F.length(number) != 15, "length").when(~number.rlike(GSTIN), "pattern").when(state_of_code(number).isNull(), "state")
-    return failed.when(F.substring(number, 15, 1) != gstin_check_digit(number), "check_digit")
+    return F.when(number.isNotNull(), failed.when(F.substring(number, 15, 1) != gstin_check_digit(number), "check_digit"))
 
 
 def state_in_address(address: Column) -> Column:

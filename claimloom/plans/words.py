@@ -128,7 +128,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN regexp_full_match(upper(trim(money)), '[A-Z]{{3}}') THEN upper(trim(money)) ELSE 'INR' END AS currency, CASE WHEN len(states) = 1 THEN states[1] END AS state, length(trim(coalesce(licence, ''))) > 0 AS licensed FROM t""",
     "gstin_problems": f"""WITH n AS (SELECT seller, nullif(upper(regexp_replace(printed, '[\\s-]', '', 'g')), '') AS number FROM ({plain(NUMBERS)}) x),
       s AS (SELECT *, {_cases(text.STATES.items(), "substr(number, 1, 2)")} AS state, list_sum(list_transform(range(1, 15), lambda i: (instr({_DIGITS}, substr(number, i, 1)) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) // 36 + (instr({_DIGITS}, substr(number, i, 1)) - 1) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) % 36)) AS total FROM n),
-      q AS (SELECT *, CASE WHEN length(number) <> 15 THEN 'length' WHEN NOT regexp_full_match(number, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') THEN 'pattern' WHEN state IS NULL THEN 'state' WHEN substr(number, 15, 1) <> substr({_DIGITS}, CAST((36 - total % 36) % 36 + 1 AS BIGINT), 1) THEN 'check_digit' END AS problem FROM s)
+      q AS (SELECT *, CASE WHEN number IS NULL THEN NULL WHEN length(number) <> 15 THEN 'length' WHEN NOT regexp_full_match(number, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]') THEN 'pattern' WHEN state IS NULL THEN 'state' WHEN substr(number, 15, 1) <> substr({_DIGITS}, CAST((36 - total % 36) % 36 + 1 AS BIGINT), 1) THEN 'check_digit' END AS problem FROM s)
       SELECT seller, number, problem, CASE WHEN number IS NOT NULL THEN problem IS NULL END AS valid, state FROM q""",
     "date_resolve": f"""WITH {_DATES} SELECT item, {_VALUE.format(either="df")} AS dmy, {_VALUE.format(either="mf")} AS mdy, {_VALUE.format(either="NULL")} AS strict,
       {_TOLD.format(either="CASE WHEN df IS NULL THEN 'invalid' ELSE 'assumed' END")} AS dmy_status, {_TOLD.format(either="'ambiguous'")} AS strict_status FROM v""",
