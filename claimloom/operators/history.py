@@ -131,3 +131,30 @@ def resubmissions(scans: DataFrame, lines: DataFrame, *, pharmacies: DataFrame |
     told = first.join(lines_changed, "scan_id", "left").join(sizes, "scan_id").join(sizes.select(F.col("scan_id").alias("prior_scan_id"), F.col("claimed_amount").alias("was_amount"), F.col("held").alias("was_held")), "prior_scan_id")
     differs = F.coalesce("changed_lines", F.lit(0)) + F.coalesce((F.col("claimed_amount") != F.col("was_amount")).cast("long"), F.lit(0)) + (~F.col("held").eqNullSafe(F.col("was_held"))).cast("long")
     return told.select("scan_id", F.when(differs > 0, "POSSIBLE_RESUBMISSION").otherwise("DUPLICATE_BILL").alias("rule_code"), "prior_scan_id", "method", (F.col("met") - 1).alias("others"), differs.alias("changed"))
+
+
+def history_findings(scans: DataFrame, lines: DataFrame, *, pharmacies: DataFrame | None = None) -> DataFrame:
+    """What earlier scans say about each: repeated or re-issued bills, courses claimed again, licences that differ, and checks not made.
+
+    With fewer than MEANINGFUL earlier scans, finding no duplicate says little; only the earliest scans of all can be so.
+    """
+    from claimloom.operators.rules import told, unavailable
+
+    again = resubmissions(scans, lines, pharmacies=pharmacies)
+    repeats = early_repeats(scans, lines)
+    shops = licence_conflicts(scans)
+    earliest = scans.orderBy("created_on", "scan_id").limit(MEANINGFUL).select("scan_id", "created_on")
+    placed = earliest.withColumn("k", F.row_number().over(Window.orderBy("created_on", "scan_id")))
+    unlike = scans.where("licence_no IS NOT NULL").join(shops.select("pharmacy_name"), "pharmacy_name", "left_semi")
+    parts = (
+        told(again, F.col("rule_code"), F.when(F.col("rule_code") == "DUPLICATE_BILL", "critical").otherwise("warning"), detail=F.to_json(F.struct("prior_scan_id", "method", "others"))),
+        told(repeats, "EARLY_REPEAT", "warning", detail=F.to_json(F.struct("salt", "prior_scan_id", "gap_days"))),
+        told(unlike, "LICENCE_INCONSISTENT", "warning"),
+        unavailable(placed.where("k = 1"), "scan history"),
+        unavailable(placed.where("k > 1").join(again.select("scan_id"), "scan_id", "left_anti"), "duplicate bill"),
+        unavailable(scans.where("bill_date IS NULL"), "early repeat"),
+    )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out

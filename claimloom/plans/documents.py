@@ -26,7 +26,7 @@ FROM ({SCANS}) s"""
 
 
 def _lines(name: str, raw: str, where: str) -> str:
-    return f"SELECT scan_id, ordinal, item_id, {name} AS test_name, {raw} AS raw_text, CASE WHEN ordinal % 5 = 0 THEN NULL WHEN ordinal % 7 = 6 THEN 2.0 ELSE 1.0 END AS quantity FROM ({BILL_ITEMS}) b WHERE {where}"
+    return f"SELECT scan_id, ordinal, concat('test-', item_id) AS item_id, {name} AS test_name, {raw} AS raw_text, CASE WHEN ordinal % 5 = 0 THEN NULL WHEN ordinal % 7 = 6 THEN 2.0 ELSE 1.0 END AS quantity FROM ({BILL_ITEMS}) b WHERE {where}"
 
 
 ORDERED = _lines(name="CASE (scan_id + ordinal * 3) % 9 WHEN 0 THEN 'LFT' WHEN 1 THEN 'Thyroid Profile (T3, T4, TSH)' WHEN 2 THEN 'Plasma Glucose F / PP after a month' WHEN 3 THEN 'Lipid Profile' WHEN 4 THEN NULL WHEN 5 THEN 'Test for TSH repeat urgent' WHEN 6 THEN 'xq' END", raw="CASE (scan_id + ordinal) % 4 WHEN 0 THEN 'CBC' WHEN 1 THEN '' ELSE 'zz' END", where="ordinal <= 2 AND scan_id % 6 <> 5")

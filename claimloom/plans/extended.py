@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import sig, units
-from claimloom.operators import consensus, counterparts, history, lab, listing, money, pairing, resolution, rules
+from claimloom.operators import consensus, counterparts, engine, history, lab, listing, money, pairing, resolution, rules
 from claimloom.plans.claims import BILL_ITEMS, bill_items, plain, rx_items, scans, view
 from claimloom.plans.registry import ALL, WITH, assignment_pairs, findings, same_place
 
@@ -148,12 +148,21 @@ def whole_counterpart_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparts.unmatched_findings(pairing.unmatched(rx, pairs, "rx_item"), pairing.unmatched(bill, pairs, "bill_item"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> engine.Outcome:
+    from claimloom.operators import lab
+    from claimloom.plans import documents as d
+
+    schedules = view(spark, sf_dir, DICTIONARY).select(F.lower("brand").alias("salt"), "schedule")
+    tests = (lab.resolve_names(view(spark, sf_dir, x)) for x in (d.ORDERED, d.BILLED, d.REPORTED))
+    return engine.reconcile(engine.Claims(rx_items(spark, sf_dir), bill_items(spark, sf_dir), d.facts(spark, sf_dir), *tests, schedules, quantity_rules(spark, sf_dir), total_checks(spark, sf_dir)))
+
+
 def whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparts.whole_findings(assignment_pairs(spark, sf_dir), rx_items(spark, sf_dir), bill_items(spark, sf_dir), scans(spark, sf_dir), quantity_rules(spark, sf_dir), total_checks(spark, sf_dir))
+    return _whole(spark, sf_dir).findings
 
 
 def whole_verdict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verdicts(whole_findings(spark, sf_dir), rx_items(spark, sf_dir), scans(spark, sf_dir))
+    return _whole(spark, sf_dir).verdicts
 
 
 def whole_rule_histogram_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +170,8 @@ def whole_rule_histogram_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = assignment_pairs(spark, sf_dir).select("scan_id", F.col("bill_item").alias("item_id"))
-    return money.line_states(bill_items(spark, sf_dir).select("scan_id", "item_id", "line_total"), whole_findings(spark, sf_dir), matched)
+    whole = _whole(spark, sf_dir)
+    return money.line_states(bill_items(spark, sf_dir).select("scan_id", "item_id", "line_total"), whole.findings, whole.pairs.select("scan_id", F.col("bill_item").alias("item_id")))
 
 
 def whole_row_status(spark: SparkSession, sf_dir: str) -> DataFrame:

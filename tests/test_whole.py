@@ -4,7 +4,7 @@ import itertools
 
 from claimloom.operators.pairing import assign, similarity
 from claimloom.plans import extended, registry
-from claimloom.plans.claims import bill_items, rx_items
+from claimloom.plans.claims import bill_items, rx_items, scans
 
 SF = "/root/testdata/sf0.001"
 LINE = "scan_id long, item_id string, drug_name string, salt string, strength_value double, strength_unit string, form string"
@@ -30,5 +30,13 @@ def test_whole_findings_and_verdicts(spark):
     short = {(r.scan_id, r.item_id) for r in extended.quantity_rules(spark, SF).where("rule_code = 'QUANTITY_SHORT'").collect()}
     assert told("QUANTITY_SHORT", "billed_ref") == short & has_bill and short & has_bill
     assert {s for s, _ in told("SUBTOTAL_MISMATCH", "billed_ref")} == {r.scan_id for r in extended.total_checks(spark, SF).where("subtotal_code = 'SUBTOTAL_MISMATCH'").collect()}
+    seen = {}
+    for f in found:
+        seen.setdefault(f.scan_id, []).append(f.seq)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in seen.values())
+    assert {f.rule_code for f in found} >= {"SCHEDULE_H_UNBACKED", "TEST_NOT_BILLED", "TEST_BILLED_NOT_REPORTED", "GSTIN_INVALID", "EARLY_REPEAT", "PATIENT_NAME_MISMATCH", "ILLEGIBLE_RX", "DUPLICATE_THERAPY"}
+    assert all(f.check_name for f in found if f.rule_code == "CHECK_UNAVAILABLE")
+    scored = extended.whole_verdict_score(spark, SF).collect()
+    assert {v.scan_id for v in scored} == {r.scan_id for r in scans(spark, SF).collect()} and len(scored) == 1500
     critical = {f.scan_id for f in found if f.severity == "critical"}
     assert all(v.verdict in ("mismatch", "inconclusive") for v in extended.whole_verdict_score(spark, SF).collect() if v.scan_id in critical)
