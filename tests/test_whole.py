@@ -23,7 +23,8 @@ def test_assignment_crosses_places(spark):
 def test_whole_findings_and_verdicts(spark):
     pairs = registry.assignment_pairs(spark, SF).collect()
     has_bill, has_rx = {(p.scan_id, p.bill_item) for p in pairs}, {(p.scan_id, p.rx_item) for p in pairs}
-    found = extended.whole_findings(spark, SF).collect()
+    whole = extended._whole(spark, SF)  # what whole_findings and whole_verdict_score return, worked out once
+    found = whole.findings.collect()
     told = lambda code, ref: {(f.scan_id, f[ref]) for f in found if f.rule_code == code}
     assert told("BILL_NOT_PRESCRIBED", "billed_ref") == {(b.scan_id, b.item_id) for b in bill_items(spark, SF).collect()} - has_bill
     assert told("RX_NOT_BILLED", "prescribed_ref") == {(r.scan_id, r.item_id) for r in rx_items(spark, SF).collect()} - has_rx
@@ -36,7 +37,7 @@ def test_whole_findings_and_verdicts(spark):
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in seen.values())
     assert {f.rule_code for f in found} >= {"SCHEDULE_H_UNBACKED", "TEST_NOT_BILLED", "TEST_BILLED_NOT_REPORTED", "GSTIN_INVALID", "EARLY_REPEAT", "PATIENT_NAME_MISMATCH", "ILLEGIBLE_RX", "DUPLICATE_THERAPY"}
     assert all(f.check_name for f in found if f.rule_code == "CHECK_UNAVAILABLE")
-    scored = extended.whole_verdict_score(spark, SF).collect()
+    scored = whole.verdicts.collect()
     assert {v.scan_id for v in scored} == {r.scan_id for r in scans(spark, SF).collect()} and len(scored) == 1500
     critical = {f.scan_id for f in found if f.severity == "critical"}
-    assert all(v.verdict in ("mismatch", "inconclusive") for v in extended.whole_verdict_score(spark, SF).collect() if v.scan_id in critical)
+    assert all(v.verdict in ("mismatch", "inconclusive") for v in scored if v.scan_id in critical)
