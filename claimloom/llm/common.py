@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task's Python code handles at a time, unless one text alone is longer.
 SLICE_BYTES = 4 << 20
@@ -41,6 +42,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def uniform(*parts: Column) -> Column:
+    """A number from [0, 1) hashed from the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new place for tables, in the shared folder."""
     return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"

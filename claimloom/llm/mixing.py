@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpoint, partitions
+from claimloom.llm.common import checkpoint, partitions, uniform
 
 EXPONENT = 0.5
 SEED = 6
@@ -26,11 +26,6 @@ LARGEST_MEAN = 16.0
 MOST_BROADCAST = 10_000
 
 
-def uniform(*parts: Column) -> Column:
-    """A number from [0, 1) hashed from the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
-
-
 def poisson(u: Column, mean: Column) -> Column:
     """The Poisson quantile of u: how many of the values 0, 1, ... have a cumulative probability of at most u."""
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
@@ -83,18 +78,19 @@ WITH RECURSIVE sizes AS (
 ), wanted AS (SELECT source, size, pow(CAST(size AS DOUBLE), {EXPONENT}) AS w FROM sizes),
 rated AS (
   SELECT source, w / size * (SELECT CAST(SUM(size) AS BIGINT) FROM wanted) / (SELECT SUM(w) FROM wanted) AS rate FROM wanted
+), parted AS (SELECT source, greatest(1, CAST(ceil(rate / {LARGEST_MEAN}) AS INTEGER)) AS parts, rate / greatest(1, CAST(ceil(rate / {LARGEST_MEAN}) AS INTEGER)) AS mean FROM rated
+), numbered AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
 ), drawn AS (
-  SELECT d.doc_id, d.source, d.text, r.rate,
-    CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':1'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
-  FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT r, source, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || j), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT d.r, d.doc_id, d.source, unnest(generate_series(1, p.parts)) AS j FROM numbered d JOIN parted p ON d.source IS NOT DISTINCT FROM p.source)
 ), terms AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rated
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM parted
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < 24 + 4 * rate
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM terms WHERE k < 24 + 4 * mean
+), quantiles AS (
+  SELECT d.r, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.c <= d.u) AS n FROM drawn d
 ), counted AS (
-  SELECT d.doc_id, d.source, d.text,
-    CAST((SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.c <= d.u) AS INTEGER) AS copies
-  FROM drawn d
+  SELECT d.doc_id, d.source, d.text, q.copies FROM numbered d JOIN (SELECT r, CAST(sum(n) AS INTEGER) AS copies FROM quantiles GROUP BY r) q USING (r)
 ), each AS (SELECT *, unnest(generate_series(1, copies)) AS copy FROM counted)
 SELECT doc_id, source, text, copies, CAST(copy AS INTEGER) AS copy,
   substr(md5('shuffle {SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy), 1, 16) AS mix_key

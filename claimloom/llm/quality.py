@@ -155,3 +155,29 @@ def clean(docs: DataFrame, *, text: str = "text", length: str = "n_chars", **opt
     size = F.when(F.length("kept_text").isNull(), None).otherwise(F.length("kept_text"))
     column = lambda c: F.col("kept_text") if c == text else F.when(F.col("n_left") == F.col("n_words"), F.col(f"row.`{c}`")).otherwise(size) if c == length else F.col(f"row.`{c}`")
     return judged.select(*(column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+#: White space as Python's str.split has it.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_APART = r"[\x20\x09-\x0D]"
+#: What op3_quality returns, over the table of documents.
+ORACLE_SQL = rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS body, text FROM documents),
+lines AS (SELECT r, source, body, unnest(string_split(body, chr(10))) AS line FROM rows_),
+flat AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_SPACE}', ' ', 'g')) AS flat_line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS line_words FROM lines),
+hosts AS (SELECT source, count(*) AS documents FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+frequent AS (SELECT f.source, flat_line FROM (SELECT source, flat_line, count(DISTINCT body) AS n FROM flat WHERE flat_line <> '' GROUP BY source, flat_line) f
+  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > {LEAST_DOCS} AND n > CAST({SHARE} AS DOUBLE) * documents),
+by_line AS (SELECT r, CAST(sum(line_words) AS BIGINT) AS n_words, CAST(sum(CASE WHEN q.flat_line IS NULL THEN line_words ELSE 0 END) AS BIGINT) AS n_left,
+    count(*) FILTER (line_words > 0) - count(DISTINCT CASE WHEN line_words > 0 THEN line END) AS n_dup_lines
+  FROM flat f LEFT JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.flat_line = q.flat_line GROUP BY r),
+words AS (SELECT r, unnest(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(body, '[^\x20\x09-\x0D]+'), 1) AS i FROM rows_),
+grams AS (SELECT r, i, word || ' ' || {" || ' ' || ".join(f"lead(word, {k}) OVER w" for k in range(1, WINDOW))} AS gram FROM words WINDOW w AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM grams WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range({WINDOW}) AS t(k) GROUP BY r),
+told AS (SELECT doc_id, n_words, CAST(length(regexp_replace(body, '{_APART}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(strlen(body) - strlen(regexp_replace(body, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_left
+  FROM rows_ JOIN by_line USING (r) LEFT JOIN covered USING (r)),
+failed AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM told)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= greatest(1, CAST({KEEP} AS DOUBLE) * n_words) AS kept, n_left FROM failed
+"""

@@ -1,7 +1,7 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
-import xxhash
 from pyspark.sql import functions as F
 
 from claimloom.llm import sharding
@@ -17,13 +17,12 @@ def test_jump_moves_rows_only_into_the_new_shard(spark):
     assert set(held) == set(range(8)) and min(held.values()) > 2250 and max(held.values()) < 2750
 
 
-def brute_shard(key, shards, seed=7):
+def brute_shard(key, shards):
     """Jumps from shard to shard until the next one lies past the last."""
-    hashed = lambda value, size, start: xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), start)
     at, following, i = -1, 0, 0
     while following < shards:
         at, i = following, i + 1
-        draw = ((hashed(seed, 4, hashed(i, 4, hashed(key, 8, 42))) >> 11) + 1) / 2**53
+        draw = 1 - int(hashlib.md5(f"jump {sharding.SEED}:{key}:{i}".encode()).hexdigest()[:13], 16) / 2**52
         following = int((at + 1) / draw)
     return at
 
@@ -46,3 +45,13 @@ def test_slots_and_digests(spark):
     for r in rows:
         assert r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
     assert sharding.shard_documents(empty_documents(spark)).count() == 0
+
+
+def test_slots_do_not_depend_on_the_session(spark):
+    docs, setting = odd_documents(spark), "spark.sql.shuffle.partitions"
+    want, before = sorted(map(str, sharding.shard_documents(docs).collect())), spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        assert sorted(map(str, sharding.shard_documents(docs.repartition(5)).collect())) == want
+    finally:
+        spark.conf.set(setting, before)
