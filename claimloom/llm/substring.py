@@ -28,6 +28,8 @@ from claimloom.llm.common import checkpoint, columns, partitions, slices, words_
 from claimloom.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
+#: What names a row: its id (for a null id a hash of the text), and another hash of the text, for ids that several texts have.
+ROW = ["rid", "tid"]
 #: Words that a shard holds, about, and past which an anchor is dealt into parts.
 SHARD_WORDS = 400_000
 
@@ -88,16 +90,16 @@ def segments_of(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW, gr
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """(rid, i, n, key, seg): all segments of the texts."""
-    schema = pa.schema([("rid", pa.int64()), ("i", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("seg", pa.int64())])
+    """(rid, tid, i, n, key, seg): all segments of the texts."""
+    schema = pa.schema([("rid", pa.int64()), ("tid", pa.int32()), ("i", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("seg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             starts, words = words_of(batch.column("text"))
             doc, i, n, key, seg = segments_of(word_hashes(words), starts)
-            yield columns(schema, rid=batch.column("rid").take(pa.array(doc)), i=i, n=n, key=key.view(np.int64), seg=seg.view(np.int64))
+            yield columns(schema, **{c: batch.column(c).take(pa.array(doc)) for c in ROW}, i=i, n=n, key=key.view(np.int64), seg=seg.view(np.int64))
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, i int, n int, key long, seg long")
+    return rows.select(*ROW, "text").mapInArrow(run, "rid long, tid int, i int, n int, key long, seg long")
 
 
 def _words(asked: DataFrame) -> DataFrame:
@@ -148,30 +150,30 @@ def search_shard(table: pa.Table) -> pa.Table:
 
 
 def repeated_segments(rows: DataFrame) -> DataFrame:
-    """(rid, i, mask): segments with windows that occur twice or more in the corpus, with a bit for each such window."""
+    """(rid, tid, i, mask): segments with windows that occur twice or more in the corpus, with a bit for each such window."""
     spark = rows.sparkSession
     segments = _segments(rows)
     shared = checkpoint(segments.groupBy("key").count().where("count > 1").select("key"))  # else the join couldn't split a hot anchor
     met = checkpoint(segments.join(shared, "key", "left_semi"))
-    distinct = met.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct("rid", "i", "n")).alias("where"))
+    distinct = met.groupBy("key", "seg").agg(F.count("*").alias("times"), F.min(F.struct(*ROW, "i", "n")).alias("where"))
     distinct = checkpoint(distinct.select("key", "seg", "times", "where.*"))
     kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + WINDOW - 1).alias("held")).where("kinds > 1")
     kinds = checkpoint(kinds.select("key", "held", F.ceil(F.col("held") / F.lit(SHARD_WORDS)).cast("int").alias("parts")))
     total = kinds.agg(F.sum("held")).first()[0] or 0
     varied = distinct.join(kinds.select("key", "parts"), "key")
-    asked = varied.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"), "parts")).alias("want"))
-    words = _words(rows.select("rid", "text").join(asked, "rid"))
+    asked = varied.groupBy(*ROW).agg(F.collect_list(F.struct("key", "seg", "i", "n", (F.col("times") > 1).alias("many"), "parts")).alias("want"))
+    words = _words(rows.select(*ROW, "text").join(asked, ROW))
     placed = place(words.select(F.col("key").alias("g"), F.col("seg").alias("node"), "many", "parts", "words"), max(partitions(spark), -(-total // SHARD_WORDS)))
     masks = placed.groupBy(*TASK).applyInArrow(lambda t: search_shard(t), "key long, seg long, mask int").groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
     whole = distinct.where("times > 1").select("key", "seg", (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int").alias("mask"))
-    return met.join(whole.union(masks), ["key", "seg"]).select("rid", "i", "mask")
+    return met.join(whole.union(masks), ["key", "seg"]).select(*ROW, "i", "mask")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): the words of each text that no repeated window covers, joined by a space."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(F.col(key), body, F.lit(4)).alias("rid"))
-    found = repeated_segments(rows).groupBy("rid").agg(F.collect_set(F.struct("i", "mask")).alias("found"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("rid"), F.hash(body).alias("tid"))
+    found = repeated_segments(rows).groupBy(*ROW).agg(F.collect_set(F.struct("i", "mask")).alias("found"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,4 +196,4 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             n = np.diff(starts)
             yield columns(schema, doc_id=batch.column("doc_id"), n_words=n, n_removed=n - np.diff(left), kept_sha256=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], kept=texts)
 
-    return rows.join(found, "rid", "left").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.join(found, ROW, "left").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -110,6 +110,7 @@ def test_substring_against_brute_force(spark, monkeypatch, most):
     passage = " ".join(word() for _ in range(60))
     rows = [(100 + k, " ".join(word() for _ in range(50)) + " " + passage + "\n" + " ".join(word() for _ in range(k)), "en", "s", 0) for k in range(30)]
     rows += [(200, "same " * 90, "en", "s", 0), (201, " ".join(passage.split()[:35]), "en", "s", 0), (202, " ".join(passage.split()[:34]), "en", "s", 0)]
+    rows += [(201, passage + " other text with the same id", "en", "s", 0), (None, "no id " + passage, "en", "s", 0), (None, "same " * 50, "en", "s", 0)]
     docs = odd_documents(spark, rows)
     texts = [(r.doc_id, re.findall(WORD, r.text or "")) for r in docs.collect()]
     seen = collections.Counter(tuple(w[i : i + 35]) for _, w in texts for i in range(len(w) - 34))
