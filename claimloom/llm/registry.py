@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_jump_sharding": sharding.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_jump_sharding": sharding.ORACLE_SQL}

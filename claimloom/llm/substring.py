@@ -197,3 +197,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             yield columns(schema, doc_id=batch.column("doc_id"), n_words=n, n_removed=n - np.diff(left), kept_sha256=[hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], kept=texts)
 
     return rows.join(found, ROW, "left").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+#: The same rows from all windows of the corpus, each as its words.
+ORACLE_SQL = rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT r, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS sequence FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM rows_)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY sequence) > 1),
+covered AS (SELECT DISTINCT r, i + k AS i FROM twice, range({WINDOW}) AS t(k)),
+each AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM rows_),
+kept AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM rows_ LEFT JOIN kept USING (r)
+"""

@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from claimloom.llm import mixing, quality, registry, sharding
+from claimloom.llm import mixing, quality, registry, sharding, substring
 from tests.llm.helpers import SCHEMA, odd_documents
 
 SF = "/root/testdata/sf0.001"
-OVER = {"op3_quality": quality.report, "op6_mixing": lambda d: mixing.mix(d).select("row.doc_id", "row.source", "row.text", "copies", "copy", "mix_key"), "op7_jump_sharding": sharding.shard_documents}
+OVER = {"op3_quality": quality.report, "op4_substring": lambda d: substring.remove_repeats(d).drop("kept"), "op6_mixing": lambda d: mixing.mix(d).select("row.doc_id", "row.source", "row.text", "copies", "copy", "mix_key"), "op7_jump_sharding": sharding.shard_documents}
 
 
 def told(frame):
