@@ -163,15 +163,19 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text").union(first.select("part", F.lit(True), "doc_id", "text"))
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int, edited_near boolean, next_near boolean"
 
 
 def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's."""
+    """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
+
+    Both are also put to the banding: how many bands of samples they share with the row's own, and whether they are near duplicates, which
+    takes a shared band and a likeness of LIKENESS or more.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = partitions(docs.sparkSession)
     dealt = with_next(rows, 4 * parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_bands", pa.int32()), ("next_bands", pa.int32()), ("edited_near", pa.bool_()), ("next_near", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows whose next row hasn't come
@@ -180,12 +184,14 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             """All rows but the last, and none that are guests."""
             points = [code_points(r[3]) for r in rows]
             pairs = fingerprints_of(points, points[1:] + points[-1:])
-            out = []
-            for r, nxt, (own, edited), (other, _) in zip(rows, rows[1:], pairs, pairs[1:]):
+            keys, out = [band_keys(own[1]) for own, _ in pairs], []
+            for r, nxt, (own, edited), (other, _), key, other_key in zip(rows, rows[1:], pairs, pairs[1:], keys, keys[1:]):
                 if not r[1]:
+                    like = likeness(own, edited), likeness(own, other)
+                    shared = shared_bands(key, band_keys(edited[1])), shared_bands(key, other_key)
                     n = len(r[3])
                     sha = hashlib.sha256((r[3][: n - n // 4] + nxt[3][: n // 4]).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((r[2], n, sha, as_text(*own), as_text(*edited), likeness(own, edited), likeness(own, other)))
+                    out.append((r[2], n, sha, as_text(*own), as_text(*edited), *like, *shared, *(bool(n and x >= LIKENESS) for n, x in zip(shared, like))))
             return columns(schema, **dict(zip(schema.names, map(list, zip(*out)) if out else [[]] * len(schema))))
 
         for batch in slices(batches, "text", 8 << 20):
@@ -224,6 +230,11 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def shared_bands(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bands of two fingerprints have equal keys."""
+    return len(set(a.tolist()) & set(b.tolist()))
+
+
 def alike_in_task(table: pa.Table, least: float) -> pa.Table:
     """Edges (u, v) of a spanning forest of the pairs of each group whose fingerprints reach the likeness."""
     table = table.take(pa.array(np.argsort(table.column("g").to_numpy(), kind="stable")))

@@ -21,6 +21,11 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def four_bits(char, k):
+    x = (char + (k + 1) * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64
+    return (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64 >> 60
+
+
 def test_walks_agree_in_lanes_and_in_plain_python(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(0, 900))) for _ in range(90)]
@@ -40,7 +45,7 @@ def test_walks_agree_in_lanes_and_in_plain_python(monkeypatch):
     for text, print_ in zip(texts, lanes):
         emitted = one(text)
         end, samples = fingerprint.from_text(print_)
-        assert end == len(emitted) and len(samples) == sum(p < end for p in fingerprint.PLACES)
+        assert end == len(emitted) and samples.tolist() == [four_bits(int(emitted[p]), k) for k, p in enumerate(fingerprint.PLACES) if p < end]
 
 
 def test_edit_report(spark):
@@ -54,6 +59,11 @@ def test_edit_report(spark):
     assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert next(r for r in rows if r.doc_id == 3).near_edited > 0.5
+    for r in rows:
+        own, edited = (set(fingerprint.band_keys(fingerprint.from_text(x)[1]).tolist()) for x in (r.fingerprint, r.edited_fingerprint))
+        assert r.edited_bands == len(own & edited) and r.edited_near == (r.edited_bands > 0 and r.near_edited >= fingerprint.LIKENESS)
+        assert r.next_near == (r.next_bands > 0 and r.near_next >= fingerprint.LIKENESS)
+    assert any(r.next_near for r in rows) and not all(r.next_near for r in rows)  # rows 0 and 4 are alike, as are both rows 4
     assert fingerprint.edit_report(empty_documents(spark)).count() == 0
 
 
