@@ -55,9 +55,9 @@ def test_forest_has_all_components(sides):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(7, 7), (300, 299)]
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(7, 7), (300, 299)] + [(k, 1500) for k in range(1000, 2000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, **{k: 1 for k in range(1, 40)}, 299: 299, 300: 299}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{k: 1 for k in range(1, 40)}, 299: 299, 300: 299, **{k: 1000 for k in range(1000, 2000)}}
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
