@@ -76,6 +76,21 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return count[offsets - offsets[0]], flat.filter(keep)
 
 
+#: What terms are made of: digits, letters (A-Z become a-z) and all that isn't ASCII; every other byte parts them.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """As words_of, for the terms `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts whose A-Z are lower-cased."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    if not len(texts):
+        return np.zeros(1, np.int64), pa.array([], pa.string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    flat = memoryview(data)[ends[0] : ends[-1]].tobytes().translate(_TERM_BYTES) if data else b""
+    return words_of(pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(flat)))
+
+
 def columns(schema: pa.Schema, **values) -> pa.RecordBatch:
     """A batch of the given schema from arrays, lists or numpy arrays by name."""
     return pa.RecordBatch.from_arrays([x if isinstance(x := values[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import fingerprint, language, mixing, packing, quality, secrets, sharding, simhash, substring, toxicity
+from claimloom.llm import alignment, fingerprint, language, mixing, packing, quality, secrets, sharding, simhash, substring, toxicity
 from claimloom.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,7 +58,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(documents(spark, sf_dir))
 
 
-ALL = (op1_fingerprint, op2_toxicity, op3_quality, op4_substring, op5_simhash, op6_mixing, op7_jump_sharding, op8_packing, op9_secrets, op10_language)
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir), (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
+
+
+ALL = (op1_fingerprint, op2_toxicity, op3_quality, op4_substring, op5_simhash, op6_mixing, op7_jump_sharding, op8_packing, op9_secrets, op10_language, op11_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
