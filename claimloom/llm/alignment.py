@@ -19,9 +19,11 @@ columns are ignored. Links with equal counts are all best.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import os
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ from claimloom.llm.common import columns, partitions, shared_folder, slices
 BLOCK, CACHE = 1 << 18, 400_000
 #: Up to so many counted pairs they are sent to all tasks (some 100 MB); pairs that a counting task holds before it adds them up.
 MOST_PAIRS, HELD = 4_000_000, 4_000_000
+#: Characters of new chunks that are encoded in one call.
+TOGETHER = 1 << 14
+#: Fixed value: how byte-level vocabularies part a text before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word that ends so doesn't end a chunk.
 OPEN_END = r"(^|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}])$"
 
@@ -44,17 +50,20 @@ SWEPT = "row binary, doc_id long, n_a long, n_b long, n_groups long, n_links lon
 GROUPS = "row binary, doc_id long, first_byte long, end_byte long, a_ids array<int>, b_ids array<int>"
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned numbers as bytes, those of one rank next to each other, compressed."""
+@functools.cache
+def _zstandard():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unsqueeze(data: bytes, kind: type) -> np.ndarray:
-    import zstandard
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned numbers as bytes, those of one rank next to each other, compressed."""
+    return _zstandard()[0].compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(_zstandard()[1].decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -66,9 +75,9 @@ def byte_level() -> dict[str, int]:
 
 
 class ChunkIds:
-    """Ids of chunks by one tokenizer, with the bytes of each id."""
+    """Ids of chunks by one tokenizer, with the bytes of each id; it encodes a chunk with a space before it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], spelled: list[bytes], most: int = CACHE):
+    def __init__(self, encode: Callable[[str], list[int]], spelled: list[bytes], most: int = CACHE):
         self.encode, self.spelled, self.most = encode, spelled, most
         self.sizes = np.array([len(x) for x in spelled], np.int64)
         self.clear()
@@ -79,19 +88,37 @@ class ChunkIds:
         self.starts, self.lengths, self.whole = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.empty(1 << 16, bool)
 
     def add(self, chunks: list[str]) -> None:
-        n = len(self.index)
-        found = self.encode(chunks)
+        """Encode new chunks: many at once where the bytes tell each chunk's ids apart, else one by one."""
+        size, run = 0, []
+        for k, c in enumerate(chunks):
+            run.append(c)
+            size += len(c)
+            if size >= TOGETHER or k + 1 == len(chunks):
+                ids = np.array(self.encode(" ".join(run)), np.uint32)
+                ends = np.cumsum(np.fromiter((1 + len(c.encode()) for c in run), np.int64, len(run)))
+                reached = np.cumsum(self.sizes[ids])
+                cuts = np.minimum(np.searchsorted(reached, ends), max(0, len(ids) - 1))
+                if len(ids) and np.array_equal(reached[cuts], ends) and b"".join(map(self.spelled.__getitem__, ids.tolist())) == b" " + " ".join(run).encode():
+                    self.keep(run, ids, np.diff(cuts, prepend=-1), np.ones(len(run), bool))
+                else:
+                    self.one_by_one(run)
+                size, run = 0, []
+
+    def one_by_one(self, chunks: list[str]) -> None:
+        found, spell = [self.encode(c) for c in chunks], self.spelled.__getitem__
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
+        self.keep(chunks, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths, np.array([b"".join(map(spell, x)) == b" " + c.encode() for x, c in zip(found, chunks)], bool))
+
+    def keep(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray, whole: np.ndarray) -> None:
+        n, total = len(self.index), len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + len(chunks) > len(self.starts):
             self.starts, self.lengths, self.whole = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths, self.whole))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.starts[n : n + len(chunks)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(chunks)] = lengths
-        spell = self.spelled.__getitem__
-        self.whole[n : n + len(chunks)] = [b"".join(map(spell, x)) == b" " + c.encode() for x, c in zip(found, chunks)]
+        self.whole[n : n + len(chunks)] = whole
         self.index.update(zip(chunks, range(n, n + len(chunks))))
         self.used += total
 
@@ -100,7 +127,9 @@ class ChunkIds:
         if len(self.index) > self.most:
             self.clear()
         if missing := [c for c in chunks if c not in self.index]:
-            self.add(missing)
+            open_ = pc.match_substring_regex(pa.array(missing, pa.string()), OPEN_END).to_pylist()
+            self.add([c for c, x in zip(missing, open_) if not x])
+            self.one_by_one([c for c, x in zip(missing, open_) if x])
         place = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))[codes]
         lengths = self.lengths[place]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -110,17 +139,21 @@ class ChunkIds:
 
 
 def byte_tokenizer(path: str) -> ChunkIds:
-    """A byte-level vocabulary; chunks come without the space before them."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """A byte-level vocabulary, encoded by its merges' ranks."""
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer, byte = Tokenizer.from_file(path), byte_level()
-    tokenizer.encode_special_tokens = True
-    vocabulary = tokenizer.get_vocab()
+    byte, parts = byte_level(), json.loads(open(path, encoding="utf-8").read())
+    vocabulary = Tokenizer.from_file(path).get_vocab()
     spelled = [b""] * (1 + max(vocabulary.values()))
     for token, i in vocabulary.items():
         spelled[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return ChunkIds(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)], spelled)
+    special = {x["id"] for x in parts["added_tokens"]}
+    merged = [parts["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in parts["model"]["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("the ids of merges don't follow their ranks")
+    model = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks={x: i for i, x in enumerate(spelled) if i not in special and x}, special_tokens={})
+    return ChunkIds(lambda chunk: model.encode_ordinary(" " + chunk), spelled)
 
 
 def piece_tokenizer(path: str) -> ChunkIds:
@@ -133,7 +166,7 @@ def piece_tokenizer(path: str) -> ChunkIds:
         raise ValueError("a piece goes on over a space, so chunks can't be encoded by themselves")
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
     space = [model.piece_to_id("▁")]  # encoding nothing gives no id, not even the space's
-    return ChunkIds(lambda chunks: [x or space for x in model.encode(chunks, num_threads=1)], spelled)
+    return ChunkIds(lambda chunk: model.encode(chunk) or space, spelled)
 
 
 _loaded: dict[tuple[str, str], tuple[ChunkIds, ChunkIds]] = {}
@@ -169,7 +202,7 @@ def events(docs: DataFrame, paths: tuple[str, str], *, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, part, met = tokenizers_of(paths), TaskContext.get().partitionId(), {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             texts = pc.fill_null(batch.column("text"), "")
             starts, chunks = chunks_of(texts)
             coded = chunks.dictionary_encode()
@@ -193,6 +226,24 @@ def events(docs: DataFrame, paths: tuple[str, str], *, key: str = "doc_id", text
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, EVENTS)
 
 
+@dataclass
+class Closed:
+    """Whole groups: the ids of both tokenizers, where the first one's end, which of the second covers each end, and who ends a group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ends: np.ndarray
+    over: np.ndarray
+    in_a: np.ndarray
+    in_b: np.ndarray
+
+    def links(self) -> np.ndarray:
+        """The id pair of each link, the first tokenizer's id in the upper half: one where each token ends, common ends counted once."""
+        high = self.a.astype(np.uint64) << np.uint64(32)
+        under = np.cumsum(np.bincount(self.over, minlength=len(self.b)))  # how many of the first end before or with each of the second
+        return np.concatenate([high | self.b[self.over], high[under[~self.in_b]] | self.b[~self.in_b]])
+
+
 class Sweep:
     """One document's tokens that no common end has closed yet, with the byte where each ends."""
 
@@ -208,17 +259,21 @@ class Sweep:
         self.ids[side] = np.concatenate([self.ids[side], ids]) if len(self.ids[side]) else ids
         self.ends[side] = np.concatenate([self.ends[side], ends]) if len(self.ends[side]) else ends
 
-    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids and ends of both tokenizers up to the last common end, and the common ends."""
+    def close(self) -> Closed | None:
+        """What lies before the last common end."""
         (a, b), (x, y) = self.ids, self.ends
         if not len(x) or not len(y):
             return None
-        common = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
-        if not len(common):
+        over = np.searchsorted(y, x)  # for each token of the first, the one of the second that covers its last byte
+        in_a = y[np.minimum(over, len(y) - 1)] == x
+        i = len(x) - int(np.argmax(in_a[::-1])) if in_a.any() else 0
+        if not i:
             return None
-        i, j = np.searchsorted(x, common[-1]) + 1, np.searchsorted(y, common[-1]) + 1
+        j = int(over[i - 1]) + 1
         self.ids, self.ends = [a[i:], b[j:]], [x[i:], y[j:]]
-        return a[:i], b[:j], x[:i], y[:j], common
+        over, in_a, in_b = over[:i], in_a[:i], np.zeros(j, bool)
+        in_b[over[in_a]] = True
+        return Closed(a[:i], b[:j], x[:i], over, in_a, in_b)
 
 
 def sweep(batches: Iterator[pa.RecordBatch], sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
@@ -239,27 +294,20 @@ def sweep(batches: Iterator[pa.RecordBatch], sizes: tuple[np.ndarray, np.ndarray
         yield *now, state.close(), True
 
 
-def links_of(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The id pair of each link, the first tokenizer's id in the upper half."""
-    places = np.union1d(x, y)
-    return (a[np.searchsorted(x, places)].astype(np.uint64) << np.uint64(32)) | b[np.searchsorted(y, places)]
-
-
 class Notation:
     """Groups as text: ids in order, `,` within a tokenizer's, `|` between the two and `;` between groups."""
 
     def __init__(self, sizes: tuple[np.ndarray, np.ndarray]):
         self.first = 2 * len(sizes[0])
-        self.words = [b"%d%c" % (i, sep) for n, last in ((len(sizes[0]), b"|"), (len(sizes[1]), b";")) for i in range(n) for sep in (b",", last)]
+        self.words = np.array([b"%d%c" % (i, sep) for n, last in ((len(sizes[0]), b"|"), (len(sizes[1]), b";")) for i in range(n) for sep in (b",", last)])
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, common: np.ndarray) -> bytes:
+    def __call__(self, c: Closed) -> bytes:
         """With a `;` at the end."""
-        group_a, group_b = np.searchsorted(common, x), np.searchsorted(common, y)
-        count = np.arange(len(common) + 1)
-        codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + np.searchsorted(group_b, count)[group_a]] = 2 * a.astype(np.int64) + (x == common[group_a])
-        codes[np.arange(len(b)) + np.searchsorted(group_a, count)[group_b + 1]] = self.first + 2 * b.astype(np.int64) + (y == common[group_b])
-        return b"".join(map(self.words.__getitem__, codes.tolist()))
+        before = lambda ends: np.concatenate([[0], np.flatnonzero(ends) + 1])  # noqa: E731  tokens in the groups before each
+        codes = np.empty(len(c.a) + len(c.b), np.int64)
+        codes[np.arange(len(c.a)) + before(c.in_b)[np.cumsum(c.in_a) - c.in_a]] = 2 * c.a.astype(np.int64) + c.in_a
+        codes[np.arange(len(c.b)) + before(c.in_a)[np.cumsum(c.in_b) - c.in_b + 1]] = self.first + 2 * c.b.astype(np.int64) + c.in_b
+        return self.words[codes].tobytes().translate(None, b"\0")
 
 
 def arranged(docs: DataFrame, paths: tuple[str, str], **options) -> DataFrame:
@@ -275,9 +323,9 @@ def groups(docs: DataFrame, paths: tuple[str, str], **options) -> DataFrame:
         begin = 0
         for row, doc, closed, over in sweep(batches, tuple(t.sizes for t in tokenizers_of(paths))):
             if closed:
-                a, b, x, y, common = closed
-                cut = lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.append(0, np.searchsorted(ends, common) + 1), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield columns(schema, row=[row] * len(common), doc_id=[doc] * len(common), first_byte=np.append(begin, common[:-1]), end_byte=common, a_ids=cut(a, x), b_ids=cut(b, y))
+                common = closed.ends[closed.in_a]
+                cut = lambda ids, ends: pa.ListArray.from_arrays(pa.array(np.append(0, np.flatnonzero(ends) + 1), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield columns(schema, row=[row] * len(common), doc_id=[doc] * len(common), first_byte=np.append(begin, common[:-1]), end_byte=common, a_ids=cut(closed.a, closed.in_a), b_ids=cut(closed.b, closed.in_b))
                 begin = int(common[-1])
             begin = 0 if over else begin
 
@@ -293,10 +341,9 @@ def swept(docs: DataFrame, paths: tuple[str, str], **options) -> DataFrame:
         notation, out, counts, sha, pairs = Notation(sizes), [], np.zeros(3, np.int64), hashlib.sha256(), []
         for row, doc, closed, over in sweep(batches, sizes):
             if closed:
-                a, b, x, y, common = closed
-                sha.update((b";" if counts[2] else b"") + notation(*closed)[:-1])
-                counts += len(a), len(b), len(common)
-                pairs.append(np.unique_counts(links_of(a, b, x, y)))
+                sha.update((b";" if counts[2] else b"") + notation(closed)[:-1])
+                counts += len(closed.a), len(closed.b), int(closed.in_a.sum())
+                pairs.append(np.unique_counts(closed.links()))
             if over:
                 held = np.concatenate([p.values for p in pairs]) if pairs else np.empty(0, np.uint64)
                 times = np.concatenate([p.counts for p in pairs]) if pairs else np.empty(0, np.int64)
