@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import alignment, fingerprint, language, mixing, packing, quality, secrets, sharding, simhash, substring, toxicity
+from claimloom.llm import alignment, fingerprint, language, licences, mixing, packing, quality, ranking, secrets, sharding, simhash, substring, toxicity
 from claimloom.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,7 +62,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(documents(spark, sf_dir), (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
 
 
-ALL = (op1_fingerprint, op2_toxicity, op3_quality, op4_substring, op5_simhash, op6_mixing, op7_jump_sharding, op8_packing, op9_secrets, op10_language, op11_alignment)
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(documents(spark, sf_dir))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ALL = (op1_fingerprint, op2_toxicity, op3_quality, op4_substring, op5_simhash, op6_mixing, op7_jump_sharding, op8_packing, op9_secrets, op10_language, op11_alignment, op12_licences, op13_ranking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_jump_sharding": sharding.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op4_substring": substring.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_jump_sharding": sharding.ORACLE_SQL, "op12_licences": licences.ORACLE_SQL, "op13_ranking": ranking.ORACLE_SQL}

@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from claimloom.llm import mixing, quality, registry, sharding, substring
+from claimloom.llm import licences, mixing, quality, registry, sharding, substring
 from tests.llm.helpers import SCHEMA, odd_documents
 
 SF = "/root/testdata/sf0.001"
-OVER = {"op3_quality": quality.report, "op4_substring": lambda d: substring.remove_repeats(d).drop("kept"), "op6_mixing": lambda d: mixing.mix(d).select("row.doc_id", "row.source", "row.text", "copies", "copy", "mix_key"), "op7_jump_sharding": sharding.shard_documents}
+OVER = {"op3_quality": quality.report, "op4_substring": lambda d: substring.remove_repeats(d).drop("kept"), "op6_mixing": lambda d: mixing.mix(d).select("row.doc_id", "row.source", "row.text", "copies", "copy", "mix_key"), "op7_jump_sharding": sharding.shard_documents, "op12_licences": licences.report}
 
 
 def told(frame):
@@ -19,7 +19,8 @@ def told(frame):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert told(registry.queries()[name](spark, SF).toPandas()) == told(con.sql(registry.oracle_sql()[name]).df())
 
 
