@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import columns, partitions, shared_folder, slices
 
 #: Bytes of text in a block; entries of a worker's cache of chunks, past which it starts anew.
-BLOCK, CACHE = 1 << 18, 400_000
+BLOCK, CACHE = 1 << 18, 250_000
 #: Up to so many counted pairs they are sent to all tasks (some 100 MB); pairs that a counting task holds before it adds them up.
 MOST_PAIRS, HELD = 4_000_000, 4_000_000
 #: Characters of new chunks that are encoded in one call.
@@ -202,7 +202,7 @@ def events(docs: DataFrame, paths: tuple[str, str], *, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, part, met = tokenizers_of(paths), TaskContext.get().partitionId(), {}
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "")
             starts, chunks = chunks_of(texts)
             coded = chunks.dictionary_encode()
