@@ -47,6 +47,11 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
+def name_of(text: Column) -> Column:
+    """A text's name in 96 bits, so that no two of any number of texts that a cluster holds are likely to share it; null counts as empty."""
+    return F.substring(F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))), 1, 12)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new place for tables, in the shared folder."""
     return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.blocks import TASK, bounds, deal
-from claimloom.llm.common import checkpoint, columns, partitions, slices
+from claimloom.llm.common import checkpoint, columns, name_of, partitions, slices
 from claimloom.llm.components import components
 
 SLOTS, OCTAVES, PERIOD, CLASSES, SEED = 32, 28, 2048, 64, 1
@@ -260,7 +260,7 @@ def alike_in_task(table: pa.Table, least: float) -> pa.Table:
                 v.append(k)
                 part = root[a:z]
                 part[part == root[k]] = root[i]
-    return pa.table({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})
+    return pa.table({"u": pa.array(node[np.array(u, np.int64)], pa.binary()), "v": pa.array(node[np.array(v, np.int64)], pa.binary())})
 
 
 def near_duplicates(docs: DataFrame, *, likeness_of: float = LIKENESS, most: int = 4096, **options) -> DataFrame:
@@ -268,17 +268,17 @@ def near_duplicates(docs: DataFrame, *, likeness_of: float = LIKENESS, most: int
 
     Distinct fingerprints alone are compared; the class of a group with no id has a null id.
     """
-    prints = checkpoint(fingerprints(docs, **options).withColumn("h", F.xxhash64("fingerprint")))
+    prints = checkpoint(fingerprints(docs, **options).withColumn("h", name_of(F.col("fingerprint"))))
     distinct = prints.groupBy("h").agg(F.first("fingerprint").alias("fingerprint"))
-    schema = pa.schema([("node", pa.int64()), ("fingerprint", pa.string()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.binary()), ("fingerprint", pa.string()), ("keys", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield columns(schema, node=batch.column("h"), fingerprint=batch.column("fingerprint"), keys=[band_keys(from_text(x)[1]) for x in batch.column("fingerprint").to_pylist()])
 
-    keyed = distinct.mapInArrow(cut, "node long, fingerprint string, keys array<long>")
+    keyed = distinct.mapInArrow(cut, "node binary, fingerprint string, keys array<long>")
     placed = checkpoint(keyed.select(F.explode("keys").alias("g"), "node", "fingerprint"))
-    edges = deal(placed, F.lit(1), most=most, per_task=4 * most).groupBy(*TASK).applyInArrow(lambda t: alike_in_task(t, likeness_of), "u long, v long")
+    edges = deal(placed, F.lit(1), most=most, per_task=4 * most).groupBy(*TASK).applyInArrow(lambda t: alike_in_task(t, likeness_of), "u binary, v binary")
     rooted = prints.join(components(edges).withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rooted.join(named, "root").select("doc_id", "class_id")

@@ -71,13 +71,13 @@ def lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows (g, node, size, fp, text) with their set of shingles in place of the text."""
-    schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("g", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             yield columns(schema, **{c: batch.column(c) for c in ("g", "node", "size", "fp")}, set=lists(*shingles(batch.column("text"), shingle)))
 
-    return texts.select("g", "node", "size", "fp", "text").mapInArrow(run, "g long, node long, size long, fp long, set array<long>")
+    return texts.select("g", "node", "size", "fp", "text").mapInArrow(run, "g long, node binary, size long, fp long, set array<long>")
 
 
 def alike_in_task(table: pa.Table, least: float, radius: int) -> pa.Table:
@@ -118,4 +118,4 @@ def alike_in_task(table: pa.Table, least: float, radius: int) -> pa.Table:
                 v.append(k)
                 part = root[a:z]
                 part[part == root[k]] = root[i]
-    return pa.table({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})
+    return pa.table({"u": pa.array(node[np.array(u, np.int64)], pa.binary()), "v": pa.array(node[np.array(v, np.int64)], pa.binary())})

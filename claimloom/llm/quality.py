@@ -2,7 +2,8 @@
 
 A line is normalised (lower case, digits as 0, white space joined) and hashed. For each host the documents that hold a line are counted,
 a document being a distinct text, so exact copies count once. A line in more documents than `least` and more than `share` of the host's
-documents is boilerplate: it is removed, and a document of whose words less than `keep` remain is rejected as depleted. A few base
+documents, or in more than `enough` documents whatever their share, is boilerplate: it is removed, and a document of whose words less than
+`keep` remain is rejected as depleted. A few base
 rules on the text alone come before. Lines go to the shuffle as hashes; frequent lines come back to the documents as one
 broadcast of all hosts' lines while they are few, and beyond that by a join that sends each text only the lines that it holds.
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.common import checkpoint, columns, slices, words_of
 
-#: A line is boilerplate in more than this many documents of its host and more than this share of them.
-LEAST_DOCS, SHARE = 20, 0.02
+#: A line is boilerplate in more than this many documents of its host and more than this share of them, or in more than ENOUGH of them: a
+#: line in five documents is enough in hosts of up to 250 documents, the share decides up to 500,000, and ENOUGH beyond.
+LEAST_DOCS, SHARE, ENOUGH = 4, 0.02, 10_000
 #: Share of a document's words that must remain, and the rules on the text alone.
 KEEP, LEAST_WORDS, MOST_REPEATED, WINDOW = 0.3, 10, 20, 5
 #: Up to so many frequent lines they are sent to all tasks.
@@ -56,10 +58,10 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "host string, text_hash long, line long")
 
 
-def frequent_lines(lines: DataFrame, documents_of: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, line) of lines in more than `least` documents and more than `share` of the host's."""
+def frequent_lines(lines: DataFrame, documents_of: DataFrame, least: int, share: float, enough: int) -> DataFrame:
+    """(host, line) of lines in more than `least` documents and more than `share` of the host's, or in more than `enough`."""
     counts = lines.distinct().groupBy("host", "line").count().where(F.col("count") > least)
-    return counts.join(documents_of, counts["host"].eqNullSafe(documents_of["host"])).where(F.col("count") > share * F.col("documents")).select(counts["host"], "line")
+    return counts.join(documents_of, counts["host"].eqNullSafe(documents_of["host"])).where((F.col("count") > share * F.col("documents")) | (F.col("count") > enough)).select(counts["host"], "line")
 
 
 def repeated_words(codes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -121,14 +123,14 @@ def measure(docs: DataFrame, shared: Broadcast | None = None) -> DataFrame:
     return docs.select("row", "text", "host", "bad").mapInArrow(run, f"row {row}, {METRICS}")
 
 
-def judge(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text", host: str = "source", least: int = LEAST_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, *, carry: list[str] | None = None, text: str = "text", host: str = "source", least: int = LEAST_DOCS, share: float = SHARE, enough: int = ENOUGH, keep: float = KEEP) -> DataFrame:
     """(row, the metrics, kept), one row per row of `docs`; row: a struct of the columns `carry`, by default all but the text."""
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     body = F.col(f"`{text}`").cast("string")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), body.alias("text"), F.col(f"`{host}`").cast("string").alias("host"), F.xxhash64(body).alias("text_hash"))
     lines = text_lines(rows.select("host", "text", "text_hash"))
     sizes = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    frequent = checkpoint(frequent_lines(lines, sizes, least, share))
+    frequent = checkpoint(frequent_lines(lines, sizes, least, share, enough))
     if frequent.count() <= MOST_BROADCAST:
         by_host: dict[str | None, set[int]] = {}
         for r in frequent.collect():  # at most MOST_BROADCAST rows
@@ -167,7 +169,7 @@ lines AS (SELECT r, source, body, unnest(string_split(body, chr(10))) AS line FR
 flat AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_SPACE}', ' ', 'g')) AS flat_line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS line_words FROM lines),
 hosts AS (SELECT source, count(*) AS documents FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
 frequent AS (SELECT f.source, flat_line FROM (SELECT source, flat_line, count(DISTINCT body) AS n FROM flat WHERE flat_line <> '' GROUP BY source, flat_line) f
-  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > {LEAST_DOCS} AND n > CAST({SHARE} AS DOUBLE) * documents),
+  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > {LEAST_DOCS} AND (n > CAST({SHARE} AS DOUBLE) * documents OR n > {ENOUGH})),
 by_line AS (SELECT r, CAST(sum(line_words) AS BIGINT) AS n_words, CAST(sum(CASE WHEN q.flat_line IS NULL THEN line_words ELSE 0 END) AS BIGINT) AS n_left,
     count(*) FILTER (line_words > 0) - count(DISTINCT CASE WHEN line_words > 0 THEN line END) AS n_dup_lines
   FROM flat f LEFT JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.flat_line = q.flat_line GROUP BY r),

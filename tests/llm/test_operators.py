@@ -160,7 +160,7 @@ def test_quality_base_and_lines(spark):
     for r in got:
         (t,) = by_text[r.doc_id]
         h = source[r.doc_id, t]
-        left = [x for x in (t or "").split("\n") if not (held[h, flat(x)] > quality.LEAST_DOCS and held[h, flat(x)] > quality.SHARE * hosts[h])]
+        left = [x for x in (t or "").split("\n") if not (held[h, flat(x)] > quality.LEAST_DOCS and (held[h, flat(x)] > quality.SHARE * hosts[h] or held[h, flat(x)] > quality.ENOUGH))]
         n_left = len(re.findall(WORD, "\n".join(left)))
         assert r.n_left == n_left and r.kept == (not r.base_failed and n_left >= max(1, quality.KEEP * r.n_words))
     kept = {r.doc_id: r.kept for r in got}
@@ -170,6 +170,20 @@ def test_quality_base_and_lines(spark):
     assert quality.report(empty_documents(spark)).count() == 0
 
 
+def test_quality_acts_on_the_tables(spark):
+    least = {"0.01": (100, 0), "0.1": (2000, 3)}
+    for sf, (shortened, depleted) in least.items():
+        told = quality.report(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+        assert told.where("n_left < n_words").count() >= shortened and told.where("not base_failed and not kept").count() >= depleted
+
+
+def test_quality_a_line_in_very_many_documents_needs_no_share(spark):
+    rows = [(k, f"own line {'abcdefghij'[k % 10] * (k // 10 + 1)} one two three four five six seven\n{'shared by some' if k < 40 else 'none ' + 'x' * k}", "h") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality.report(docs, share=0.5).where("n_left < n_words").count() == 0
+    assert {r.doc_id for r in quality.report(docs, share=0.5, enough=39).where("n_left < n_words").collect()} == set(range(40))
+
+
 def test_quality_many_lines_take_the_join(spark, monkeypatch):
     rows = [(k, "\n".join(f"line {'abcdefgh'[j]} of every page here" for j in range(3)) + f"\n{'unique ' * 3}{'z' * k} own words {'y' * k} end", "en", None if k % 2 else "h", 0) for k in range(60)]
     docs = spark.createDataFrame(rows, SCHEMA)
