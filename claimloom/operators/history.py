@@ -90,15 +90,13 @@ SAME_NAME, MEANINGFUL = 85.0, 5
 def like_names(names: DataFrame, column: str, least: float = SAME_NAME) -> DataFrame:
     """(name, other) of distinct names that are the same by the order-free likeness, each with itself too.
 
-    Names that are alike to 85 share a letter pair of their sorted tokens; such pairs alone are compared, as in `resolution.alike`.
+    Pairs come from an inverted index with a prefix filter, as in `resolution.alike`.
     """
     from claimloom.functions.fuzzy import token_sort_ratio
+    from claimloom.operators.likeness import near_pairs
 
     each = names.select(F.lower(F.trim(column)).alias("name")).where("name <> ''").distinct()
-    tokens = F.array_join(F.array_sort(F.split("name", r"\s+")), " ")
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (k - 1))), lambda i: F.substring(F.col("t"), i, F.lit(k)))
-    placed = each.withColumn("t", tokens).select("name", F.explode(F.array_distinct(F.when(F.length("t") <= 3, F.concat(cut(1), cut(2))).otherwise(cut(2)))).alias("piece"))
-    pairs = placed.join(placed.withColumnRenamed("name", "other"), "piece").where("name <> other").select("name", "other").distinct()
+    pairs = near_pairs(each, "name", each.withColumnRenamed("name", "other"), "other", once=False, shared_words=False).where("name <> other")
     return pairs.where(token_sort_ratio("name", "other") >= least).union(each.select("name", F.col("name").alias("other")))
 
 
