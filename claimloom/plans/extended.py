@@ -8,10 +8,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions import sig, units
-from claimloom.operators import consensus, counterparts, engine, history, lab, listing, money, pairing, resolution, rules
-from claimloom.plans.claims import BILL_ITEMS, bill_items, plain, rx_items, scans, view
-from claimloom.plans.registry import ALL, WITH, assignment_pairs, findings, same_place
+from claimloom.functions import forms, sig, units
+from claimloom.operators import amounts, consensus, counterparts, engine, history, lab, listing, money, pairing, resolution, rules
+from claimloom.plans.claims import BILL_ITEMS, RX_ITEMS, bill_items, plain, rx_items, scans, view
+from claimloom.plans.registry import ALL, SAME_PLACE, WITH, assignment_pairs, findings, same_place
 
 SIGS = """
 SELECT p_partkey AS item, CASE p_partkey % 14 WHEN 0 THEN 'OD' WHEN 1 THEN '1-0-1' WHEN 2 THEN 'bd' WHEN 3 THEN '1–1–1' WHEN 4 THEN 'SOS' WHEN 5 THEN '½-0-1½' WHEN 6 THEN 'TDS after food'
@@ -148,13 +148,33 @@ def whole_counterpart_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparts.unmatched_findings(pairing.unmatched(rx, pairs, "rx_item"), pairing.unmatched(bill, pairs, "bill_item"))
 
 
+#: Lines as written: names with slips of the pen, dosing, courses and packs; and what names stand for.
+RX_WRITTEN = f"""
+SELECT r.*, CASE WHEN drug_name IS NULL THEN NULL WHEN (scan_id + ordinal) % 11 = 0 THEN concat('Tab. ', replace(salt, 'd', 't'), ' 500mg BD') ELSE concat('TAB ', salt, ' OD x 5/7') END AS raw,
+  CASE (scan_id + ordinal) % 6 WHEN 0 THEN 'BD' WHEN 1 THEN NULL WHEN 2 THEN 'TDS' WHEN 3 THEN 'SOS' ELSE concat(CAST(scan_id % 3 AS STRING), '-', CAST(ordinal % 2 AS STRING), '-1') END AS frequency_raw,
+  CASE (scan_id + 2 * ordinal) % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(CAST(ordinal + 2 AS STRING), '/7') ELSE concat(CAST(scan_id % 20 + 1 AS STRING), ' days') END AS duration_raw,
+  CAST(CASE WHEN scan_id % 13 = 0 THEN 6 END AS INT) AS duration_days, CAST(CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal % 3 END AS DOUBLE) AS dose_per_administration
+FROM ({RX_ITEMS}) r"""
+BILL_WRITTEN = f"""
+SELECT b.*, CASE WHEN salt IS NULL THEN NULL ELSE raw_text END AS raw,
+  CASE (scan_id + ordinal) % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(CAST(ordinal * 5 AS STRING), '''s') WHEN 2 THEN 'Strip of 10' WHEN 3 THEN '15ml' ELSE concat('2x', CAST(ordinal + 3 AS STRING)) END AS pack_size
+FROM ({BILL_ITEMS}) b"""
+NAMED = "SELECT upper(p_name) AS brand, upper(split_part(p_name, ' ', 2)) AS salt, split_part(p_name, ' ', 1) AS therapeutic_class, p_partkey AS ordinal, CASE WHEN p_partkey % 40 = 0 THEN 'X' WHEN p_size > 45 THEN 'H1' WHEN p_size > 30 THEN 'H' ELSE 'OTC' END AS schedule FROM {part}"
+
+
+def amounts_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of lines paired by their place, as SQL can pair them."""
+    rows = amounts.compared(same_place(spark, sf_dir), view(spark, sf_dir, RX_WRITTEN), view(spark, sf_dir, BILL_WRITTEN))
+    return rows.select("scan_id", "rx_item", "bill_item", "expected_units", "billed_units", "units_per_pack", "units_basis", "basis_method", F.array_join("missing", ",").alias("missing"), "rule_code")
+
+
 def _whole(spark: SparkSession, sf_dir: str) -> engine.Outcome:
     from claimloom.operators import lab
     from claimloom.plans import documents as d
 
-    schedules = view(spark, sf_dir, DICTIONARY).select(F.lower("brand").alias("salt"), "schedule")
     tests = (lab.resolve_names(view(spark, sf_dir, x)) for x in (d.ORDERED, d.BILLED, d.REPORTED))
-    return engine.reconcile(engine.Claims(rx_items(spark, sf_dir), bill_items(spark, sf_dir), d.facts(spark, sf_dir), *tests, schedules, quantity_rules(spark, sf_dir), total_checks(spark, sf_dir)))
+    rx, bill = (view(spark, sf_dir, x) for x in (RX_WRITTEN, BILL_WRITTEN))
+    return engine.reconcile(engine.Claims(rx, bill, d.facts(spark, sf_dir), *tests, view(spark, sf_dir, NAMED), total_checks(spark, sf_dir)))
 
 
 def whole_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +202,7 @@ def whole_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money.category_totals(_whole_states(spark, sf_dir))
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (sig_parse, pack_size_parse, strength_normalise, total_checks, row_status, category_totals, counterpart_rules, quantity_rules, lab_component_join, report_axis, consensus_mode, consensus_majority, bbox_iou, line_overlap, scan_filters, visibility, count_by_employee, review_progress, exact_resolution, schedule_lookup, fuzzy_resolution,
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (sig_parse, pack_size_parse, strength_normalise, total_checks, row_status, category_totals, counterpart_rules, quantity_rules, lab_component_join, report_axis, consensus_mode, consensus_majority, bbox_iou, line_overlap, scan_filters, visibility, count_by_employee, review_progress, exact_resolution, schedule_lookup, fuzzy_resolution, amounts_due,
     whole_unmatched_billed, whole_strength_rules, whole_counterpart_rules, whole_findings, whole_verdict_score, whole_rule_histogram_top20, whole_row_status, whole_category_totals)
 
 _SIGS = f"WITH s AS ({plain(SIGS)})"
@@ -191,6 +211,8 @@ _STATES = f"""{ALL}, told AS (SELECT scan_id, billed_ref AS item_id, bool_or(sev
     coalesce(un AND (c OR w OR p.scan_id IS NOT NULL), false) AS partial, CASE WHEN un OR c OR w OR p.scan_id IS NULL THEN 'needs_review' ELSE 'eligible' END AS bucket
     FROM bill b LEFT JOIN told t ON b.scan_id = t.scan_id AND b.item_id = t.item_id LEFT JOIN pairs p ON b.scan_id = p.scan_id AND b.item_id = p.bill_item)"""
 _TESTS = f"""WITH panels AS ({PANELS}), """ + ", ".join(f"{n} AS (SELECT scan_id, item_id, test_name, coalesce(component, test_name) AS component, coalesce(billable, true) AS billable FROM ({plain(x)}) q LEFT JOIN panels ON panel = test_name WHERE test_name IS NOT NULL)" for n, x in (("asked", ORDERED), ("charged", BILLED), ("told", REPORTED)))
+_OTHER_FORMS = "(" + ", ".join(f"'{x}'" for x in forms.NON_MEDICINE_FORMS) + ")"
+_NO_MEDICINE = f"regexp_matches(lower(coalesce(o.drug_name, '') || ' ' || coalesce(o.raw_text, '')), '{'|'.join(forms.NON_MEDICINE_WORDS)}') OR coalesce(o.form IN {_OTHER_FORMS}, false)"
 _SURE = "salt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {other} o WHERE o.scan_id = a.scan_id AND o.salt IS NULL{more})"
 
 ORACLE: dict[str, str] = {
@@ -207,12 +229,37 @@ ORACLE: dict[str, str] = {
     "category_totals": f"""{_STATES} SELECT scan_id, CAST(coalesce(sum(line_total) FILTER (bucket = 'eligible'), 0) AS DECIMAL(18,2)) AS eligible, CAST(coalesce(sum(line_total) FILTER (bucket = 'needs_review'), 0) AS DECIMAL(18,2)) AS needs_review,
       CAST(0 AS DECIMAL(18,2)) AS not_eligible, CAST(0 AS DECIMAL(18,2)) AS non_medicine, count(*) - count(line_total) AS lines_without_amount FROM states GROUP BY scan_id""",
     "counterpart_rules": f"""{WITH}, ra AS (SELECT * FROM rx WHERE ordinal % 3 = 0), ba AS (SELECT * FROM bill WHERE ordinal % 3 = 0 OR (scan_id + ordinal) % 7 = 0),
-      j AS (SELECT scan_id, 'RX_NOT_BILLED' AS rule_code, CASE WHEN {_SURE.format(other="ba", more=" AND o.form IS NOT NULL")} THEN 'critical' ELSE 'warning' END AS severity, item_id AS prescribed_ref, NULL AS billed_ref FROM ra a
-        UNION ALL SELECT scan_id, 'BILL_NOT_PRESCRIBED', CASE WHEN salt IS NULL AND form IS NULL THEN 'info' WHEN {_SURE.format(other="ra", more="")} THEN 'critical' ELSE 'warning' END, NULL, item_id FROM ba a)
+      j AS (SELECT scan_id, 'RX_NOT_BILLED' AS rule_code, CASE WHEN {_SURE.format(other="ba", more=f" AND NOT ({_NO_MEDICINE})")} THEN 'critical' ELSE 'warning' END AS severity, item_id AS prescribed_ref, NULL AS billed_ref FROM ra a
+        UNION ALL SELECT scan_id, 'BILL_NOT_PRESCRIBED', CASE WHEN coalesce(form IN {_OTHER_FORMS}, false) OR (salt IS NULL AND form IS NULL) THEN 'info' WHEN {_SURE.format(other="ra", more="")} THEN 'critical' ELSE 'warning' END, NULL, item_id FROM ba a)
       SELECT * FROM j UNION ALL SELECT scan_id, 'CHECK_UNAVAILABLE', 'info', prescribed_ref, billed_ref FROM j WHERE severity = 'warning'""",
     "quantity_rules": f"""WITH q AS (SELECT scan_id, item_id, ordinal % 3 AS basis, quantity, CASE WHEN ordinal % 5 <> 0 THEN (scan_id % 3 + 1) * 10 END AS due, CASE WHEN ordinal % 4 <> 0 THEN 10 END AS per_pack FROM ({plain(BILL_ITEMS)}) b),
       r AS (SELECT *, CASE WHEN quantity < due THEN 'QUANTITY_SHORT' WHEN quantity * 5 > 6 * due THEN 'QUANTITY_EXCESS' ELSE '' END AS u, CASE WHEN quantity * per_pack < due THEN 'QUANTITY_SHORT' WHEN quantity * per_pack * 5 > 6 * due THEN 'QUANTITY_EXCESS' ELSE '' END AS p FROM q)
       SELECT scan_id, item_id, nullif(CASE WHEN due IS NULL OR quantity IS NULL OR (per_pack IS NULL AND basis <> 0) THEN 'CHECK_UNAVAILABLE' WHEN basis = 0 THEN u WHEN basis = 1 THEN p WHEN u = p THEN p ELSE 'QUANTITY_AMBIGUOUS' END, '') AS rule_code FROM r""",
+    "amounts_due": f"""{WITH}, {SAME_PLACE}, rw AS ({plain(RX_WRITTEN)}), bw AS ({plain(BILL_WRITTEN)}),
+      w AS (
+        SELECT p.*, quantity, units_basis AS declared, CAST(unit_price AS DOUBLE) * quantity AS stated, CAST(line_total AS DOUBLE) AS total,
+          CASE WHEN frequency_raw = 'BD' THEN 2.0 WHEN frequency_raw = 'TDS' THEN 3.0 WHEN contains(frequency_raw, '-') THEN list_sum(list_transform(string_split(frequency_raw, '-'), lambda x: TRY_CAST(x AS DOUBLE))) END::DOUBLE AS per_day,
+          coalesce(duration_days, TRY_CAST(regexp_extract(duration_raw, '^[0-9]+') AS INTEGER)) AS days,
+          coalesce(dose_per_administration, CASE WHEN contains(frequency_raw, '-') THEN 1.0 END)::DOUBLE AS dose,
+          CASE WHEN pack_size LIKE '%''s' OR pack_size LIKE 'Strip%' THEN TRY_CAST(regexp_extract(pack_size, '[0-9]+') AS INTEGER) WHEN pack_size LIKE '2x%' THEN 2 * TRY_CAST(substr(pack_size, 3) AS INTEGER) END AS per_pack
+        FROM pairs p JOIN rw r ON p.scan_id = r.scan_id AND p.rx_item = r.item_id JOIN bw b ON p.scan_id = b.scan_id AND p.bill_item = b.item_id),
+      near AS (
+        SELECT *, abs(stated * per_pack - total) <= 0.02 * greatest(abs(stated * per_pack), abs(total), 1) AND NOT abs(stated - total) <= 0.02 * greatest(abs(stated), abs(total), 1) AS proved,
+          quantity IS NULL OR stated IS NULL OR total IS NULL OR per_pack IS NULL AS unpriced, CASE WHEN per_day > 0 AND days > 0 AND dose > 0 THEN per_day * days * dose END AS due FROM w),
+      based AS (
+        SELECT *, CASE WHEN declared IS NOT NULL THEN declared WHEN NOT unpriced AND proved THEN 'pack' END AS basis,
+          CASE WHEN declared IS NOT NULL THEN 'declared' WHEN unpriced THEN 'no_price_data' WHEN proved THEN 'price_reconciled' ELSE 'price_inconclusive' END AS how FROM near),
+      out AS (
+        SELECT *, CASE WHEN quantity < due THEN 'QUANTITY_SHORT' WHEN quantity > 1.2::DOUBLE * due THEN 'QUANTITY_EXCESS' ELSE '' END AS u,
+          CASE WHEN quantity * per_pack < due THEN 'QUANTITY_SHORT' WHEN quantity * per_pack > 1.2::DOUBLE * due THEN 'QUANTITY_EXCESS' ELSE '' END AS k FROM based),
+      coded AS (
+        SELECT *, nullif(CASE WHEN due IS NULL OR quantity IS NULL OR (per_pack IS NULL AND basis IS DISTINCT FROM 'unit') THEN 'CHECK_UNAVAILABLE'
+          WHEN basis = 'unit' THEN u WHEN basis = 'pack' THEN k WHEN u = k THEN k ELSE 'QUANTITY_AMBIGUOUS' END, '') AS rule_code FROM out)
+      SELECT scan_id, rx_item, bill_item, due AS expected_units,
+        CAST(CASE WHEN rule_code IN ('CHECK_UNAVAILABLE', 'QUANTITY_AMBIGUOUS') THEN NULL WHEN basis = 'unit' THEN quantity ELSE quantity * per_pack END AS DOUBLE) AS billed_units,
+        per_pack AS units_per_pack, basis AS units_basis, how AS basis_method,
+        concat_ws(',', CASE WHEN per_day IS NULL THEN 'frequency' END, CASE WHEN days IS NULL THEN 'duration' END, CASE WHEN dose IS NULL THEN 'dose' END, CASE WHEN quantity IS NULL THEN 'quantity' END,
+          CASE WHEN per_pack IS NULL AND basis IS DISTINCT FROM 'unit' THEN 'pack' END) AS missing, rule_code FROM coded""",
     "lab_component_join": f"""{_TESTS}, c AS (SELECT a.scan_id, a.item_id, a.test_name, count(*) AS required, count(*) FILTER (EXISTS (SELECT 1 FROM charged b WHERE b.scan_id = a.scan_id AND b.component = a.component)) AS covered FROM asked a WHERE billable GROUP BY ALL)
       SELECT *, CASE WHEN covered = 0 THEN 'TEST_NOT_BILLED' WHEN covered < required THEN 'PANEL_PARTIAL' END AS rule_code FROM c""",
     "report_axis": f"""{_TESTS}, d AS (SELECT scan_id, component, 'TEST_BILLED_NOT_REPORTED' AS rule_code FROM (SELECT scan_id, component FROM charged WHERE scan_id IN (SELECT scan_id FROM told) EXCEPT SELECT scan_id, component FROM told)
