@@ -145,16 +145,16 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, **options) -> Data
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, size, fp, keys) of rows (id, node, text): fingerprints of the different shingles, and the blocks of each text."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(id, name, size, fp, keys) of rows (id, name, text): fingerprints of the different shingles, and the blocks of each text."""
+    schema = pa.schema([("id", pa.int64()), ("name", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             starts, hashes = likeness.shingles(batch.column("text"), shingle)
             keys = likeness.bands(starts, hashes)
-            yield columns(schema, id=batch.column("id"), node=batch.column("node"), size=np.diff(starts), fp=majority(hashes, starts[:-1], np.diff(starts)).view(np.int64), keys=likeness.lists(np.arange(len(keys) + 1) * keys.shape[1], keys.ravel()))
+            yield columns(schema, id=batch.column("id"), name=batch.column("name"), size=np.diff(starts), fp=majority(hashes, starts[:-1], np.diff(starts)).view(np.int64), keys=likeness.lists(np.arange(len(keys) + 1) * keys.shape[1], keys.ravel()))
 
-    return texts.select("id", "node", "text").mapInArrow(run, "id long, node binary, size long, fp long, keys array<long>")
+    return texts.select("id", "name", "text").mapInArrow(run, "id long, name binary, size long, fp long, keys array<long>")
 
 
 def near_in_task(table: pa.Table, radius: int, least: float) -> pa.Table:
@@ -178,31 +178,32 @@ def near_in_task(table: pa.Table, radius: int, least: float) -> pa.Table:
         i, j = forest(fps[a:z], side[a:z], radius, sizes=size[a:z], least=least)
         found.link(at[a + i], at[a + j])
     child, parent = found.edges()
-    return pa.table({"u": pa.array(ids[child], pa.binary()), "v": pa.array(ids[parent], pa.binary())})
+    return pa.table({"u": ids[child], "v": ids[parent]})
 
 
 def alike(nodes: DataFrame, texts: DataFrame, least: float, radius: int, shingle: int) -> DataFrame:
-    """Edges (u, v) among rows (node, id, size, fp, keys), whose components are those of all pairs alike to `least` that share a block.
+    """Edges (u, v) among rows (node, name, id, size, fp, keys), whose components are those of all pairs alike to `least` that share a block.
 
     In each block fingerprints are compared by tiles. What hangs together by that is a group whose shingles are read and compared; a
     text is in one such group only, and neither step returns more than a forest.
     """
     placed = nodes.select(F.explode("keys").alias("g"), "node", "size", "fp")
     dealt = deal(placed, F.lit(1), most=MOST, per_task=4 * MOST)
-    near = dealt.groupBy(*TASK).applyInArrow(lambda t: near_in_task(t, radius, least), "u binary, v binary")
-    groups = checkpoint(components(near).distinct().join(nodes.select("node", "id", "size", "fp"), "node"))
-    read = texts.join(groups.select("node", "id", F.xxhash64("root").alias("g"), "size", "fp"), ["node", "id"]).dropDuplicates(["node"])  # one copy of each text is read
+    near = dealt.groupBy(*TASK).applyInArrow(lambda t: near_in_task(t, radius, least), "u long, v long")
+    groups = checkpoint(components(near).distinct().join(nodes.select("node", "name", "id", "size", "fp"), "node"))
+    read = texts.join(groups.select("node", "name", "id", F.col("root").alias("g"), "size", "fp"), ["name", "id"]).dropDuplicates(["node"])  # one copy of each text is read
     sets = checkpoint(likeness.shingle_sets(read, shingle))
-    return deal(sets, F.col("size"), most=PART_SHINGLES, per_task=2 * PART_SHINGLES).groupBy(*TASK).applyInArrow(lambda t: likeness.alike_in_task(t, least, radius), "u binary, v binary")
+    return deal(sets, F.col("size"), most=PART_SHINGLES, per_task=2 * PART_SHINGLES).groupBy(*TASK).applyInArrow(lambda t: likeness.alike_in_task(t, least, radius), "u long, v long")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", least: float = likeness.LEAST, radius: int = WIDE_RADIUS, shingle: int = likeness.SHINGLE) -> DataFrame:
     """One row of each group of texts alike to `least`, that with the least id (null last), then the least name of its text; all columns stay."""
     ident, at = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), name_of(F.col(text).cast("string"))
-    texts = docs.select(ident.alias("id"), at.alias("node"), F.col(text).cast("string").alias("text"))
-    nodes = checkpoint(checkpoint(sketches(texts, shingle)).groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "fp", "keys"))))
-    roots = nodes.select("node", "id").join(components(alike(nodes, texts, least, radius, shingle)), "node", "left")
-    best = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.node").alias("__at"))
+    texts = docs.select(ident.alias("id"), at.alias("name"), F.col(text).cast("string").alias("text"))
+    named = checkpoint(sketches(texts, shingle)).groupBy("name").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "fp", "keys")))
+    nodes = checkpoint(named.withColumn("node", F.monotonically_increasing_id()))  # numbers that stand for names from here on, fixed as they are written
+    roots = nodes.select("node", "name", "id").join(components(alike(nodes, texts, least, radius, shingle)), "node", "left")
+    best = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "name")).alias("b")).select(F.col("b.id").alias("__id"), F.col("b.name").alias("__at"))
     rows = docs.withColumn("__id", ident).withColumn("__at", at)
     return rows.join(best, ["__id", "__at"], "left_semi").dropDuplicates(["__id", "__at"]).drop("__id", "__at")
 
