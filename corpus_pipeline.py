@@ -2,6 +2,10 @@
 
 Quality rules drop rejected documents and boilerplate lines, one document stays of each group of near copies (five-word shingles alike
 to 0.8 or more), secrets are masked, sources are mixed to their target weights by repeating rows, and what is left is packed into sequences of tokens.
+
+Defined results: a null or empty text fails the quality rules; near-duplicates keep one text without words, and of equal texts the row with the least id,
+null last; a null text has no secrets and stays null; null sources are a source of their own; a null text packs as the end id alone. Repeated
+rows are judged alike, of which near-duplicates keep one. Other columns go through all stages but the last. An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
