@@ -6,11 +6,13 @@ differ in few places: edit distance becomes Hamming distance. A fingerprint samp
 SLOTS in the first SLOTS steps and in each octave after them, four hashed bits a place, and keeps the length of the walk. The likeness of
 two fingerprints is the share of equal samples, each octave weighing as much as it is long, less what chance makes equal.
 
-Near duplicates come from bands of samples: fingerprints with equal bands meet, and pairs among them are verified by their likeness.
+Near duplicates come from bands of samples: different fingerprints with equal bands meet, and pairs among them are verified by their
+likeness. Between tasks a fingerprint is its end, its number of samples and two samples a byte; only bands that two fingerprints share
+are dealt, as rows of numbers, and samples are joined to those alone.
 
 Defined results: a null text counts as empty; the empty text has the fingerprint of an empty walk and is alike (1) only to itself;
 equal texts have equal fingerprints; rows are in order of id, null first, then text, so repeated rows follow each other; the last row's
-next row is the first, and a single row's next row is itself; an empty table gives an empty result; other columns are ignored.
+next row is the first, and a single row's next row is itself; an empty table gives an empty result; other columns are ignored. A class is named by its least id; one of null ids alone has a null name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.blocks import TASK, bounds, deal
@@ -109,6 +111,27 @@ def from_text(fingerprint: str) -> tuple[int, np.ndarray]:
     return int(end, 16), np.array([int(x, 16) for x in samples], np.uint8)
 
 
+def packed(samples: np.ndarray) -> bytes:
+    """Two samples a byte, the first in the upper half."""
+    even = np.append(samples, np.zeros(len(samples) % 2, np.uint8))
+    return (even[::2] << 4 | even[1::2]).tobytes()
+
+
+def unpacked(bits: bytes, n: int) -> np.ndarray:
+    both = np.frombuffer(bits, np.uint8)
+    return np.stack([both >> 4, both & 15], axis=1).ravel()[:n]
+
+
+def spelled(end: str, n: str, bits: str) -> Column:
+    """The string that as_text gives, from the columns of a fingerprint."""
+    return F.concat(F.lower(F.hex(end)), F.lit("-"), F.substring(F.lower(F.hex(bits)), F.lit(1), F.col(n)))
+
+
+def print_name(end: str, n: str, bits: str) -> Column:
+    """A fingerprint's name in 96 bits."""
+    return name_of(F.concat(F.col(bits), F.concat_ws(":", end, n).cast("binary")))
+
+
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """0 to 1: the share of the longer walk on which the two agree, less chance."""
     if a[0] == b[0] and np.array_equal(a[1], b[1]):
@@ -163,19 +186,22 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text").union(first.select("part", F.lit(True), "doc_id", "text"))
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int, edited_near boolean, next_near boolean"
+PACKED = pa.schema([("doc_id", pa.int64()), ("end", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+OUT = """doc_id long, n_chars long, sha binary, end long, n int, bits binary, edited_end long, edited_n int, edited_bits binary,
+near_edited double, near_next double, edited_bands int, next_bands int, edited_near boolean, next_near boolean"""
 
 
 def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
+    """Each row's fingerprint, that of its edited text, its likeness to that and to the next row's, and the class of its near duplicates.
 
-    Both are also put to the banding: how many bands of samples they share with the row's own, and whether they are near duplicates, which
-    takes a shared band and a likeness of LIKENESS or more.
+    The edited text and the next row are also put to the banding: how many bands of samples they share with the row's own, and whether they
+    are near duplicates of it, which takes a shared band and a likeness of LIKENESS or more. `class_id` is the class over all rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = partitions(docs.sparkSession)
     dealt = with_next(rows, 4 * parts).repartition(parts, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_bands", pa.int32()), ("next_bands", pa.int32()), ("edited_near", pa.bool_()), ("next_near", pa.bool_())])
+    numbers = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, numbers[kind]) for name, kind in (column.split() for column in OUT.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows whose next row hasn't come
@@ -190,8 +216,9 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                     like = likeness(own, edited), likeness(own, other)
                     shared = shared_bands(key, band_keys(edited[1])), shared_bands(key, other_key)
                     n = len(r[3])
-                    sha = hashlib.sha256((r[3][: n - n // 4] + nxt[3][: n // 4]).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((r[2], n, sha, as_text(*own), as_text(*edited), *like, *shared, *(bool(n and x >= LIKENESS) for n, x in zip(shared, like))))
+                    sha = hashlib.sha256((r[3][: n - n // 4] + nxt[3][: n // 4]).encode("utf-8", "surrogatepass")).digest()
+                    prints = [x for end, samples in (own, edited) for x in (end, len(samples), packed(samples))]
+                    out.append((r[2], n, sha, *prints, *like, *shared, *(bool(n and x >= LIKENESS) for n, x in zip(shared, like))))
             return columns(schema, **dict(zip(schema.names, map(list, zip(*out)) if out else [[]] * len(schema))))
 
         for batch in slices(batches, "text", 8 << 20):
@@ -200,18 +227,28 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 yield emit(rows)
             held = rows[-1:]
 
-    return dealt.mapInArrow(run, OUT)
+    report = dealt.mapInArrow(run, OUT).withColumn("h", print_name("end", "n", "bits")).join(classes(prints_of(rows)), "h")
+    prints = spelled("end", "n", "bits").alias("fingerprint"), spelled("edited_end", "edited_n", "edited_bits").alias("edited_fingerprint")
+    likes = "near_edited", "near_next", "edited_bands", "next_bands", "edited_near", "next_near", "class_id"
+    return report.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *prints, *likes)
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
+def prints_of(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) with the columns of their fingerprints in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            yield columns(schema, doc_id=batch.column("doc_id"), fingerprint=[as_text(*x) for x in fingerprints_of([code_points(t or "") for t in batch.column("text").to_pylist()])])
+            found = fingerprints_of([code_points(t or "") for t in batch.column("text").to_pylist()])
+            ends, samples = [end for end, _ in found], [x for _, x in found]
+            yield columns(PACKED, doc_id=batch.column("doc_id"), end=ends, n=list(map(len, samples)), bits=list(map(packed, samples)))
+
+    return rows.mapInArrow(run, "doc_id long, end long, n int, bits binary")
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint) of every row."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return prints_of(rows).select("doc_id", spelled("end", "n", "bits").alias("fingerprint"))
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -239,7 +276,7 @@ def alike_in_task(table: pa.Table, least: float) -> pa.Table:
     """Edges (u, v) of a spanning forest of the pairs of each group whose fingerprints reach the likeness."""
     table = table.take(pa.array(np.argsort(table.column("g").to_numpy(), kind="stable")))
     g, node, side = (table.column(c).to_numpy() for c in ("g", "node", "side"))
-    rows = [from_text(x)[1] for x in table.column("fingerprint").to_pylist()]
+    rows = [unpacked(*x) for x in zip(table.column("bits").to_pylist(), table.column("n").to_pylist())]
     grid = np.full((len(rows), max(map(len, rows), default=0)), 16, np.uint8)
     for i, x in enumerate(rows):
         grid[i, : len(x)] = x
@@ -260,25 +297,33 @@ def alike_in_task(table: pa.Table, least: float) -> pa.Table:
                 v.append(k)
                 part = root[a:z]
                 part[part == root[k]] = root[i]
-    return pa.table({"u": pa.array(node[np.array(u, np.int64)], pa.binary()), "v": pa.array(node[np.array(v, np.int64)], pa.binary())})
+    return pa.table({"u": node[np.array(u, np.int64)], "v": node[np.array(v, np.int64)]})
 
 
-def near_duplicates(docs: DataFrame, *, likeness_of: float = LIKENESS, most: int = 4096, **options) -> DataFrame:
-    """(doc_id, class_id): texts whose fingerprints share a band and reach the likeness, and what is linked through them, are a class.
+def classes(prints: DataFrame, *, likeness_of: float = LIKENESS, most: int = 4096) -> DataFrame:
+    """(h, class_id) of each different fingerprint of the rows (doc_id, end, n, bits), h its name.
 
-    Distinct fingerprints alone are compared; the class of a group with no id has a null id.
+    Fingerprints that share a band and reach the likeness, and what is linked through them, are a class. They get numbers, and a row for
+    the shuffle is a band's key and a number; bands of one fingerprint alone go no further than their count.
     """
-    prints = checkpoint(fingerprints(docs, **options).withColumn("h", name_of(F.col("fingerprint"))))
-    distinct = prints.groupBy("h").agg(F.first("fingerprint").alias("fingerprint"))
-    schema = pa.schema([("node", pa.binary()), ("fingerprint", pa.string()), ("keys", pa.list_(pa.int64()))])
+    named = prints.withColumn("h", print_name("end", "n", "bits"))
+    distinct = named.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = checkpoint(distinct.withColumn("node", F.monotonically_increasing_id()))  # numbers that are fixed as they are written
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield columns(schema, node=batch.column("h"), fingerprint=batch.column("fingerprint"), keys=[band_keys(from_text(x)[1]) for x in batch.column("fingerprint").to_pylist()])
-
-    keyed = distinct.mapInArrow(cut, "node binary, fingerprint string, keys array<long>")
-    placed = checkpoint(keyed.select(F.explode("keys").alias("g"), "node", "fingerprint"))
-    edges = deal(placed, F.lit(1), most=most, per_task=4 * most).groupBy(*TASK).applyInArrow(lambda t: alike_in_task(t, likeness_of), "u binary, v binary")
-    rooted = prints.join(components(edges).withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rooted.join(named, "root").select("doc_id", "class_id")
+            samples = map(unpacked, batch.column("bits").to_pylist(), batch.column("n").to_pylist())
+            yield columns(schema, node=batch.column("node"), keys=[band_keys(x) for x in samples])
+
+    banded = nodes.select("node", "n", "bits").mapInArrow(cut, "node long, keys array<long>").select(F.explode("keys").alias("g"), "node")
+    met = deal(banded, F.lit(1), most=most, per_task=4 * most).join(nodes.select("node", "n", "bits"), "node")
+    edges = met.groupBy(*TASK).applyInArrow(lambda t: alike_in_task(t, likeness_of), "u long, v long")
+    rooted = nodes.select("node", "h", "least").join(components(edges), "node", "left").select("h", "least", F.coalesce("root", "node").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("h", "class_id")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, class_id), a row for each of `docs`; equal texts are of one class."""
+    prints = prints_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    return prints.select("doc_id", print_name("end", "n", "bits").alias("h")).join(classes(prints, **options), "h").select("doc_id", "class_id")

@@ -97,6 +97,34 @@ def test_bands_find_the_pairs_at_the_likeness(spark):
     assert odd[0] == odd[4] == 0 and odd[1] == odd[2] == 1 and fingerprint.near_duplicates(empty_documents(spark)).count() == 0
 
 
+def brute_classes(rows):
+    """The least id of the component of each row (doc_id, fingerprint), by all pairs that share a band and reach the likeness."""
+    prints = [fingerprint.from_text(x) for _, x in rows]
+    keys = [set(fingerprint.band_keys(samples).tolist()) for _, samples in prints]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if rows[a][1] == rows[b][1] or (keys[a] & keys[b] and fingerprint.likeness(prints[a], prints[b]) >= fingerprint.LIKENESS):
+                root = [root[a] if r == root[b] else r for r in root]
+    least = {}
+    for (doc, _), r in zip(rows, root):
+        least[r] = min(least.get(r, doc), doc)
+    return {doc: least[r] for (doc, _), r in zip(rows, root)}
+
+
+@pytest.mark.parametrize("most", (4096, 8))
+def test_classes_equal_all_pairs_of_the_corpus(spark, most):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = [(10**6 + k, "lorem ipsum dolor sit amet " * 30 + "z" * (k % 7), "en", "s", 0) for k in range(40)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(copies, SCHEMA).select("doc_id", "text"))
+    rows = [(r.doc_id, fingerprint.as_text(*fingerprint.fingerprints_of([fingerprint.code_points(r.text or "")])[0])) for r in docs.collect()]
+    got = {r.doc_id: r.class_id for r in fingerprint.near_duplicates(docs, most=most).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) < len(got) - 39
+    if most == 4096:
+        report = fingerprint.edit_report(docs).collect()
+        assert {r.doc_id: r.class_id for r in report} == got and {r.doc_id: r.fingerprint for r in report} == dict(rows)
+
+
 def test_index_counts_every_stretch():
     rng = np.random.default_rng(0)
     for depth in (1, 2, 5, 8):
