@@ -45,3 +45,8 @@ def review_progress(scans: DataFrame, year: Column, wanted: str) -> DataFrame:
         F.count_if(done).alias("reviewed"),
         F.coalesce(F.sum(F.when(done, F.col("claimed_amount"))), F.lit(0)).cast("decimal(18,2)").alias("claimed"),
     )
+
+
+def uncertified(states: DataFrame) -> DataFrame:
+    """(employee_number, uncertified, scans): how many scans of each employee they haven't certified."""
+    return states.groupBy("employee_number").agg(F.count_if(F.col("certified_at").isNull()).alias("uncertified"), F.count("*").alias("scans"))

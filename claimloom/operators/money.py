@@ -64,3 +64,10 @@ def category_totals(states: DataFrame) -> DataFrame:
     """Amounts by bucket for each scan; lines without an amount are counted, not taken as zero."""
     amount = lambda b: F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("line_total"))), F.lit(0)).cast("decimal(18,2)").alias(b)
     return states.groupBy("scan_id").agg(*map(amount, BUCKETS), F.count_if(F.col("line_total").isNull()).alias("lines_without_amount"))
+
+
+def excluded(states: DataFrame) -> DataFrame:
+    """(scan_id, not_prescribed, non_medicine, excluded): what a claim leaves out, lines with an amount and their sum; only scans with such a line."""
+    out = states.where(F.col("bucket").isin("not_eligible", "non_medicine") & F.col("line_total").isNotNull())
+    lines = lambda bucket: F.count_if(F.col("bucket") == bucket)
+    return out.groupBy("scan_id").agg(lines("not_eligible").alias("not_prescribed"), lines("non_medicine").alias("non_medicine"), F.sum("line_total").cast("decimal(18,2)").alias("excluded"))

@@ -18,15 +18,21 @@ SUBMITTED, UNDER_REVIEW, REVIEWED = "submitted", "under_review", "reviewed"
 ENVELOPE = "1.0"
 
 
-def save_scans(scans: DataFrame, verdicts: DataFrame, path: str) -> None:
-    """Append scans with the counts that follow from their verdicts, never with counts of the caller's."""
+def save_batch(rows: DataFrame, path: str, batch: str, by: str) -> None:
+    """Write a batch under its own name below each value of `by`, in place of what an earlier try of the same batch left there."""
+    named = rows.withColumn("batch", F.lit(batch))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
+
+
+def save_scans(scans: DataFrame, verdicts: DataFrame, path: str, batch: str) -> None:
+    """Store scans with the counts that follow from their verdicts, never with counts of the caller's; a repeated batch is stored once."""
     told = scans.drop("critical_count", "warning_count", "unavailable_count", "verdict").join(verdicts.select("scan_id", "verdict", "critical_count", "warning_count", "unavailable_count"), "scan_id")
-    told.withColumn("allowance_year", allowance_year(F.col("created_on"))).write.mode("append").partitionBy("allowance_year").parquet(path)
+    save_batch(told.withColumn("allowance_year", allowance_year(F.col("created_on"))), path, batch, "allowance_year")
 
 
-def save_pages(pages: DataFrame, path: str) -> None:
-    """Append all pages of all documents."""
-    pages.select("scan_id", "slot", "page_no", "content").write.mode("append").partitionBy("slot").parquet(path)
+def save_pages(pages: DataFrame, path: str, batch: str) -> None:
+    """Store all pages of all documents; a repeated batch is stored once."""
+    save_batch(pages.select("scan_id", "slot", "page_no", "content"), path, batch, "slot")
 
 
 def review_states(scans: DataFrame, events: DataFrame) -> DataFrame:

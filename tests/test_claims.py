@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 
 from claimloom.operators.pairing import best_assignment
-from claimloom.plans import documents, extended, priors, readings, registry, review, store, words
+from claimloom.plans import documents, extended, lab_rows, priors, readings, registry, review, store, words
 
 SF = "/root/testdata/sf0.001"
-PARTS = (extended, words, documents, review, store, readings, priors)
+PARTS = (extended, words, documents, review, store, readings, priors, lab_rows)
 QUERIES = registry.queries() | {f.__name__: f for part in PARTS for f in part.QUERIES}
 ORACLE = registry.ORACLE | {k: v for part in PARTS for k, v in part.ORACLE.items()}
 
