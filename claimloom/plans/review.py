@@ -99,7 +99,7 @@ def _quoted(names) -> str:
     return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
 
-_FOUND = f"""{ALL}, every AS (SELECT * FROM found UNION ALL SELECT scan_id, 'NON_MEDICINE_ITEM', 'info', NULL, item_id FROM bill WHERE salt IS NULL AND (contains(lower(raw_text), 'soap') OR contains(lower(raw_text), 'strip')))"""
+_FOUND = f"""{ALL}, every AS MATERIALIZED (SELECT * FROM found UNION ALL SELECT scan_id, 'NON_MEDICINE_ITEM', 'info', NULL, item_id FROM bill WHERE salt IS NULL AND (contains(lower(raw_text), 'soap') OR contains(lower(raw_text), 'strip')))"""
 _LINES = """lines AS (SELECT r.scan_id, r.item_id AS rx_item, p.bill_item FROM rx r LEFT JOIN pairs p ON p.scan_id = r.scan_id AND p.rx_item = r.item_id UNION ALL SELECT scan_id, NULL, item_id FROM bill b WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.scan_id = b.scan_id AND p.bill_item = b.item_id)),
   keyed AS (SELECT *, CASE WHEN rx_item IS NOT NULL AND bill_item IS NOT NULL THEN rx_item || '-' || bill_item WHEN rx_item IS NOT NULL THEN 'rx-only-' || rx_item ELSE 'bill-only-' || bill_item END AS row_key FROM lines),
   linked AS (SELECT k.scan_id, k.row_key, e.rule_code, e.severity FROM keyed k JOIN every e ON e.scan_id = k.scan_id AND (e.prescribed_ref IS NOT NULL OR e.billed_ref IS NOT NULL)
