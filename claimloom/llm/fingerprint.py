@@ -198,7 +198,7 @@ def zipped(rows: DataFrame) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor().compress
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             frames = [squeeze(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield columns(schema, **{c: batch.column(c) for c in ("part", "guest", "doc_id", "at")}, text=frames)
 
@@ -259,7 +259,7 @@ def edit_report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                     out.append((r[2], n, sha, *prints, *like, *shared, *(bool(n and x >= LIKENESS) for n, x in zip(shared, like))))
             return columns(schema, **dict(zip(schema.names, map(list, zip(*out)) if out else [[]] * len(schema))))
 
-        for run_ in unzipped(batches, 8 << 20):
+        for run_ in unzipped(batches, 4 << 20):
             rows = held + run_
             if len(rows) > 1:
                 yield emit(rows)
@@ -275,7 +275,7 @@ def prints_of(rows: DataFrame) -> DataFrame:
     """The rows (doc_id, text) with the columns of their fingerprints in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             found = fingerprints_of([code_points(t or "") for t in batch.column("text").to_pylist()])
             ends, samples = [end for end, _ in found], [x for _, x in found]
             yield columns(PACKED, doc_id=batch.column("doc_id"), end=ends, n=list(map(len, samples)), bits=list(map(packed, samples)))
