@@ -84,13 +84,14 @@ def pair_tests(ordered: DataFrame, billed: DataFrame, panels: DataFrame) -> Data
     return by_test.select("scan_id", "rx_item", "name", F.when(F.size("lines") > 0, F.get(covers, F.lit(0))).alias("bill_item"), covers.alias("covers"), share.alias("similarity"), "found", "required", "missing")
 
 
-def lab_findings(ordered: DataFrame, billed: DataFrame, scans: DataFrame, panels: DataFrame) -> DataFrame:
+def lab_findings(ordered: DataFrame, billed: DataFrame, scans: DataFrame, panels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """TEST_UNRESOLVED, TEST_NOT_BILLED, PANEL_PARTIAL, TEST_NOT_PRESCRIBED and TEST_DUPLICATE, softened where the other side can't support them.
 
     Tests carry written, kind, name; `scans` has investigations (true, false or null) and lab_bill (whether one was handed in, null if
-    not stated) and has_items. A scan without tests on either side and without a section for them has no findings.
+    not stated) and has_items. A scan without tests on either side and without a section for them has no findings. `pairs` are those of `pair_tests`,
+    if the caller has them.
     """
-    pairs = pair_tests(ordered, billed, panels)
+    pairs = pair_tests(ordered, billed, panels) if pairs is None else pairs
     met = pairs.where("found > 0")
     facts = scans.select("scan_id", "investigations", "lab_bill", "has_items")
     facts = facts.join(billed.groupBy("scan_id").agg(F.count("*").alias("n_billed"), F.count_if(F.coalesce(F.trim("test_name"), F.lit("")) == "").alias("unnamed")), "scan_id", "left")

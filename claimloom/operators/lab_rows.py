@@ -21,9 +21,9 @@ def label() -> Column:
     return F.coalesce(filled("test_name"), filled("raw_text"))
 
 
-def rows_of_tests(ordered: DataFrame, billed: DataFrame, panels: DataFrame) -> DataFrame:
-    """(scan_id, row_key, rx_item, bill_item, covers_count, covered_by, covered) of resolved tests."""
-    met = pair_tests(ordered, billed, panels).where("found > 0").select("scan_id", "rx_item", "bill_item", "covers")
+def rows_of_tests(ordered: DataFrame, billed: DataFrame, panels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(scan_id, row_key, rx_item, bill_item, covers_count, covered_by, covered) of resolved tests; `pairs` as in `lab.lab_findings`."""
+    met = (pair_tests(ordered, billed, panels) if pairs is None else pairs).where("found > 0").select("scan_id", "rx_item", "bill_item", "covers")
     none, zero = F.lit(None).cast("string"), F.lit(0)
     orders = ordered.select("scan_id", F.col("item_id").alias("rx_item"), "ordinal", label().alias("label"))
     both = orders.join(met, ["scan_id", "rx_item"], "left")

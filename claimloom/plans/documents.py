@@ -14,6 +14,7 @@ from claimloom.plans.claims import BILL_ITEMS, SCANS, bill_items, plain, rx_item
 from claimloom.plans.extended import DICTIONARY
 from claimloom.plans.registry import SAME_PLACE, WITH, same_place
 from claimloom.plans.words import _DIGITS, _cases
+from claimloom.session import laid_out
 
 #: Facts of a scan's documents beside those of the claims view.
 FACTS = f"""
@@ -29,6 +30,8 @@ def _lines(name: str, raw: str, where: str) -> str:
     return f"SELECT scan_id, ordinal, concat('test-', item_id) AS item_id, {name} AS test_name, {raw} AS raw_text, CASE WHEN ordinal % 5 = 0 THEN NULL WHEN ordinal % 7 = 6 THEN 2.0 ELSE 1.0 END AS quantity FROM ({BILL_ITEMS}) b WHERE {where}"
 
 
+#: What the views of tests read of a line.
+OF_LINES = ("scan_id", "ordinal", "item_id")
 ORDERED = _lines(name="CASE (scan_id + ordinal * 3) % 9 WHEN 0 THEN 'LFT' WHEN 1 THEN 'Thyroid Profile (T3, T4, TSH)' WHEN 2 THEN 'Plasma Glucose F / PP after a month' WHEN 3 THEN 'Lipid Profile' WHEN 4 THEN NULL WHEN 5 THEN 'Test for TSH repeat urgent' WHEN 6 THEN 'xq' END", raw="CASE (scan_id + ordinal) % 4 WHEN 0 THEN 'CBC' WHEN 1 THEN '' ELSE 'zz' END", where="ordinal <= 2 AND scan_id % 6 <> 5")
 BILLED = _lines(name="CASE (scan_id + ordinal) % 11 WHEN 0 THEN 'SGPT (ALT)' WHEN 1 THEN 'S.G.O.T' WHEN 2 THEN 'Lipid Profile — HDL' WHEN 3 THEN 'Lipid Profile - Mystery' WHEN 4 THEN 'Vit D' WHEN 5 THEN '' WHEN 6 THEN 'T3' WHEN 7 THEN 'TSH' WHEN 8 THEN 'Odd thing: T4' WHEN 9 THEN 'Glucose PP' ELSE 'LDL' END", raw="CASE (scan_id + ordinal) % 3 WHEN 0 THEN 'Urine R/M' ELSE 'smudge' END", where="ordinal <= 5 AND scan_id % 4 <> 3")
 REPORTED = _lines(name="CASE (scan_id + ordinal) % 7 WHEN 0 THEN 'SGPT' WHEN 1 THEN 'VLDL' WHEN 2 THEN 'Cortisol, Morning, Serum' WHEN 3 THEN NULL WHEN 4 THEN 'T3' WHEN 5 THEN 'Glucose [pp]' ELSE 'qq' END", raw="CAST(NULL AS STRING)", where="scan_id % 3 = 0 AND ordinal <= 4")
@@ -39,7 +42,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return lab.resolve_names(view(spark, sf_dir, sql), fuzzy=False)
+    return lab.resolve_names(view(spark, sf_dir, sql, OF_LINES), fuzzy=False)
+
+
+def paired_tests(spark: SparkSession, sf_dir: str, panels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ordered tests, billed tests and their pairs, laid out by scan, as many rules read each of them."""
+    ordered, billed = (laid_out(_tests(spark, sf_dir, x)) for x in (ORDERED, BILLED))
+    return ordered, billed, laid_out(lab.pair_tests(ordered, billed, panels))
 
 
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def lab_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lab_resolution_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with likeness, over misspelt names."""
-    spelt = view(spark, sf_dir, BILLED).withColumn("test_name", F.translate("test_name", "iy", "yi"))
+    spelt = view(spark, sf_dir, BILLED, OF_LINES).withColumn("test_name", F.translate("test_name", "iy", "yi"))
     return lab.resolve_names(spelt).select("scan_id", "item_id", "written", "kind", "name", "method")
 
 
@@ -83,7 +92,9 @@ def lab_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lab_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lab.lab_findings(_tests(spark, sf_dir, ORDERED), _tests(spark, sf_dir, BILLED), facts(spark, sf_dir), lab.panel_table(spark))
+    panels = lab.panel_table(spark)
+    ordered, billed, pairs = paired_tests(spark, sf_dir, panels)
+    found = lab.lab_findings(ordered, billed, facts(spark, sf_dir), panels, pairs)
     return found.withColumn("softened_code", F.get_json_object("detail", "$.softened_code")).drop("detail")
 
 

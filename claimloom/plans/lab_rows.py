@@ -11,13 +11,16 @@ from claimloom.operators import lab, listing, money
 from claimloom.operators import lab_rows as rows
 from claimloom.plans import documents, review, store
 from claimloom.plans.claims import SCANS, bill_items, plain, scans
-from claimloom.plans.documents import BILLED, ORDERED, _tests, facts
+from claimloom.plans.documents import BILLED, ORDERED, facts, paired_tests
 from claimloom.plans.registry import same_place
+from claimloom.session import laid_out
 
 
 def lab_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered, billed, panels = _tests(spark, sf_dir, ORDERED), _tests(spark, sf_dir, BILLED), lab.panel_table(spark)
-    return rows.states_of_tests(rows.rows_of_tests(ordered, billed, panels), lab.lab_findings(ordered, billed, facts(spark, sf_dir), panels))
+    panels = lab.panel_table(spark)
+    ordered, billed, pairs = paired_tests(spark, sf_dir, panels)
+    found = laid_out(lab.lab_findings(ordered, billed, facts(spark, sf_dir), panels, pairs))
+    return rows.states_of_tests(laid_out(rows.rows_of_tests(ordered, billed, panels, pairs)), found)
 
 
 def lab_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
