@@ -12,10 +12,10 @@ TIME_OF_DAY = r"[\s,]+\d{1,2}:\d{2}(:\d{2})?\s*([AaPp]\.?[Mm]\.?)?\s*$"
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null where the calendar has none."""
-    sound = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(sound, F.try_to_date(text, "yyyy-MM-dd"))
+    """The date, or null where the calendar has none; told by the length of the month, as a failed parse costs an exception a row."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(month.between(1, 12) & year.between(1, 9999) & (day >= 1) & (day <= days), F.make_date(year, month, day))
 
 
 def month_number(word: Column, extra: dict[str, int] | None = None) -> Column:
@@ -31,32 +31,41 @@ def full_year(year: Column) -> Column:
 
 def resolve_date(raw: Column, order: str = "dmy") -> Column:
     """struct(value, status): read, assumed (by `order`, dmy or mdy), ambiguous (under strict), year, invalid, unreadable; null if blank."""
-    return let(F.trim(F.regexp_replace(F.trim(raw), TIME_OF_DAY, "")), lambda text: _read(text, order))
+    return let(date_parts(raw), lambda parts: by_order(parts, order))
 
 
-def _read(text: Column, order: str) -> Column:
-    whole = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("int")
+def date_parts(raw: Column) -> Column:
+    """What a date's text says whatever the order of day and month, for `by_order`; null if blank. Worked out once, it serves every order."""
+    return let(F.trim(F.regexp_replace(F.trim(raw), TIME_OF_DAY, "")), lambda text: F.when(F.length(text) > 0, _read(text)))
+
+
+def _read(text: Column) -> Column:
     iso = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
     written, american = r"^(\d{1,2})(-|\s+)([A-Za-z]+)(-|\s+)(\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$"
-    same = F.trim(F.regexp_extract(text, written, 2)) == F.trim(F.regexp_extract(text, written, 4))
-    named = F.coalesce(
-        _valid(whole(iso, 1), whole(iso, 3), whole(iso, 4)),
-        F.when(same, _valid(whole(written, 5), month_number(F.regexp_extract(text, written, 3)), whole(written, 1))),
-        _valid(whole(american, 3), month_number(F.regexp_extract(text, american, 1)), whole(american, 2)),
-    )
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
-    told = let(parts, lambda numbers: _by_numbers(text, numbers, order))
-    return F.when(F.length(text) > 0, F.when(named.isNotNull(), F.struct(named.alias("value"), F.lit("read").alias("status"))).otherwise(told))
-
-
-def _by_numbers(text: Column, numbers: Column, order: str) -> Column:
-    first, second, year = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), full_year(F.get(numbers, F.lit(2)))
-    three = (F.size(numbers) == 3) & ~text.rlike("[A-Za-z]")
-    day, month = (first, second) if order != "mdy" else (second, first)
-    value = F.when((first > 12) & (second <= 12), _valid(year, second, first)).when((second > 12) & (first <= 12), _valid(year, first, second)).when((first <= 12) & (second <= 12), F.lit(None).cast("date") if order == "strict" else _valid(year, month, day))
-    either, settled = (first <= 12) & (second <= 12), ((first > 12) & (second <= 12)) | ((second > 12) & (first <= 12))
-    status = F.when(year.isNull(), "year").when(either, F.lit("ambiguous") if order == "strict" else F.when(value.isNull(), "invalid").otherwise("assumed")).when(settled, F.when(value.isNull(), "invalid").otherwise("read")).otherwise("unreadable")
-    return F.when(three, F.struct(value.alias("value"), status.alias("status"))).otherwise(F.struct(F.lit(None).cast("date").alias("value"), F.lit("unreadable").alias("status")))
+    form = F.when(~text.rlike("[A-Za-z]"), F.when(text.rlike(iso), "iso").otherwise("numbers")).when(text.rlike(written), F.when(F.trim(F.regexp_extract(text, written, 2)) == F.trim(F.regexp_extract(text, written, 4)), "written")).when(text.rlike(american), "written")
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    seen = F.struct(form.alias("form"), numbers.alias("numbers"), month_number(F.regexp_extract(text, "([A-Za-z]+)", 1)).alias("month"))
+    return let(seen, _parts)
+
+
+def _parts(seen: Column) -> Column:
+    """struct(named, three, first, second, year, day_first, month_first): a date that only one order can mean, or three numbers and the dates they may be."""
+    at = lambda k: F.get(seen["numbers"], F.lit(k))
+    named = F.when(seen["form"] == "iso", _valid(at(0), at(1), at(2))).when(seen["form"] == "written", _valid(at(1), seen["month"], at(0)))
+    three = F.coalesce(seen["form"].isin("iso", "numbers"), F.lit(False)) & (F.size(seen["numbers"]) == 3)
+    each = F.struct(named.alias("named"), three.alias("three"), at(0).alias("first"), at(1).alias("second"), full_year(at(2)).alias("year"))
+    return let(each, lambda p: F.struct(*(p[c].alias(c) for c in ("named", "three", "first", "second", "year")), _valid(p["year"], p["second"], p["first"]).alias("day_first"), _valid(p["year"], p["first"], p["second"]).alias("month_first")))
+
+
+def by_order(parts: Column, order: str) -> Column:
+    """`resolve_date` of a text's `date_parts`."""
+    first, second, day_first, month_first = (parts[c] for c in ("first", "second", "day_first", "month_first"))
+    assumed = {"dmy": day_first, "mdy": month_first}.get(order, F.lit(None).cast("date"))
+    days, months, either = (first > 12) & (second <= 12), (second > 12) & (first <= 12), (first <= 12) & (second <= 12)
+    value = F.when(days, day_first).when(months, month_first).when(either, assumed)
+    status = F.when(parts["year"].isNull(), "year").when(either, F.lit("ambiguous") if order == "strict" else F.when(assumed.isNull(), "invalid").otherwise("assumed")).when(days | months, F.when(value.isNull(), "invalid").otherwise("read")).otherwise("unreadable")
+    told = F.struct(F.when(parts["named"].isNotNull(), parts["named"]).when(parts["three"], value).alias("value"), F.when(parts["named"].isNotNull(), "read").when(parts["three"], status).otherwise("unreadable").alias("status"))
+    return F.when(parts.isNotNull(), told)
 
 
 def resolve_expiry(raw: Column) -> Column:

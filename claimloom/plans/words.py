@@ -67,8 +67,8 @@ def gstin_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, DATES)
-    read = {order: dates.resolve_date(F.col("raw"), order) for order in ("dmy", "mdy", "strict")}
+    rows = view(spark, sf_dir, DATES).select("item", dates.date_parts(F.col("raw")).alias("parts"))
+    read = {order: dates.by_order(F.col("parts"), order) for order in ("dmy", "mdy", "strict")}
     return rows.select("item", *(read[o]["value"].alias(o) for o in read), *(read[o]["status"].alias(f"{o}_status") for o in ("dmy", "strict")))
 
 
