@@ -59,12 +59,12 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Rows and their weights of each text: the mean over words of the mean over the word's n-grams."""
     starts, words = words_of(pa.array(texts, pa.string()))
     coded = words.dictionary_encode()
-    grams = [np.array(ngrams(w)) for w in coded.dictionary.to_pylist()]
+    grams = [np.array(ngrams(w), np.int32) for w in coded.dictionary.to_pylist()]
     codes, out = coded.indices.to_numpy(), []
     for a, b in zip(starts[:-1], starts[1:]):
         used, times = np.unique(codes[a:b], return_counts=True)
         if not len(used):
-            out.append((np.empty(0, np.int64), np.empty(0, np.float32)))
+            out.append((np.empty(0, np.int32), np.empty(0, np.float32)))
             continue
         rows = np.concatenate([grams[k] for k in used])
         share = np.concatenate([np.full(len(grams[k]), n / len(grams[k])) for k, n in zip(used, times)])
