@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import lab_names, text
 from claimloom.operators.rules import told, unavailable
+from claimloom.session import written as stored
 
 
 def panel_table(spark) -> DataFrame:
@@ -18,6 +19,7 @@ def panel_table(spark) -> DataFrame:
 def resolve_names(tests: DataFrame, *, fuzzy: bool = True) -> DataFrame:
     """`tests` with kind, name and method, from their test_name or else raw_text; distinct texts alone are looked up.
 
+    What they are is stored, so that its size is known before it is joined: a few texts go to the tests, which stay where they lie.
     The first step that knows a key decides. Of parts, a panel with a test is that test, tests without a panel are the first of them,
     and a panel whose component isn't known is nothing.
     """
@@ -30,7 +32,7 @@ def resolve_names(tests: DataFrame, *, fuzzy: bool = True) -> DataFrame:
         F.min_by("name", F.when((F.col("step") == 3) & (F.col("kind") == "test"), F.col("part"))).alias("part"),
     )
     told_ = found.select("written", F.coalesce("whole", F.when(F.col("part").isNotNull(), F.struct(F.lit("test").alias("kind"), F.col("part").alias("name"), F.when(F.col("panel"), "panel_component").otherwise("component_only").alias("method")))).alias("m"))
-    return written.join(told_, "written", "left").select(*tests.columns, "written", "m.kind", "m.name", "m.method")
+    return written.join(stored(told_), "written", "left").select(*tests.columns, "written", "m.kind", "m.name", "m.method")
 
 
 def components(tests: DataFrame, panels: DataFrame) -> DataFrame:
@@ -84,6 +86,32 @@ def pair_tests(ordered: DataFrame, billed: DataFrame, panels: DataFrame) -> Data
     return by_test.select("scan_id", "rx_item", "name", F.when(F.size("lines") > 0, F.get(covers, F.lit(0))).alias("bill_item"), covers.alias("covers"), share.alias("similarity"), "found", "required", "missing")
 
 
+def _no_bill() -> Column:
+    """no_lab_bill or lab_bill_unreadable, for a scan without billed tests."""
+    none_billed = F.col("n_billed") == 0
+    return F.when(none_billed & F.coalesce(~F.col("lab_bill"), F.col("has_items")), "no_lab_bill").when(none_billed & F.coalesce(F.col("lab_bill"), F.lit(False)), "lab_bill_unreadable")
+
+
+def _doubt() -> Column:
+    """Why a scan's orders can't tell which tests were not ordered."""
+    none_ordered = F.col("n_ordered") == 0
+    return F.when(F.col("unknown") > 0, "unidentified_orders").when(none_ordered & F.coalesce(F.col("investigations"), F.lit(False)), "orders_unreadable").when(none_ordered & F.col("investigations").isNull(), "orders_unconfirmed")
+
+
+def scan_gaps(ordered: DataFrame, billed: DataFrame, scans: DataFrame) -> DataFrame:
+    """(scan_id, gap, findings): the same as `review.document_gaps` of `lab_findings`, of tests that have an item_id, without pairing any.
+
+    Where the bill is missing or unreadable nothing is billed, so every ordered test with a name is without a bill; each scan's counts tell that.
+    """
+    wanted = ordered.groupBy("scan_id").agg(F.count("*").alias("n_ordered"), F.count_if(F.col("name").isNull()).alias("unknown"), F.size(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("item_id", "name")))).cast("long").alias("named"))
+    charged = billed.groupBy("scan_id").agg(F.count("*").alias("n_billed"))
+    counted = scans.select("scan_id", "investigations", "lab_bill", "has_items").join(wanted.join(charged, "scan_id", "full"), "scan_id").fillna(0, ["n_billed", "n_ordered", "unknown", "named"])
+    bill = F.when(_no_bill() == "no_lab_bill", "lab_bill_missing").otherwise(_no_bill())
+    orders = F.when(_doubt().isNotNull() & (F.col("n_billed") > 0), "orders_unreadable")
+    gap = F.when(bill.isNotNull(), F.struct(bill.alias("gap"), F.col("named").alias("n"))).when(orders.isNotNull(), F.struct(orders.alias("gap"), F.lit(1).cast("long").alias("n")))
+    return counted.select("scan_id", gap.alias("g")).where("g.n > 0").groupBy("scan_id", "g.gap").agg(F.sum("g.n").alias("findings"))
+
+
 def lab_findings(ordered: DataFrame, billed: DataFrame, scans: DataFrame, panels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """TEST_UNRESOLVED, TEST_NOT_BILLED, PANEL_PARTIAL, TEST_NOT_PRESCRIBED and TEST_DUPLICATE, softened where the other side can't support them.
 
@@ -96,10 +124,8 @@ def lab_findings(ordered: DataFrame, billed: DataFrame, scans: DataFrame, panels
     facts = scans.select("scan_id", "investigations", "lab_bill", "has_items")
     facts = facts.join(billed.groupBy("scan_id").agg(F.count("*").alias("n_billed"), F.count_if(F.coalesce(F.trim("test_name"), F.lit("")) == "").alias("unnamed")), "scan_id", "left")
     facts = facts.join(ordered.groupBy("scan_id").agg(F.count("*").alias("n_ordered"), F.count_if(F.col("name").isNull()).alias("unknown")), "scan_id", "left").fillna(0, ["n_billed", "unnamed", "n_ordered", "unknown"])
-    none_billed = F.col("n_billed") == 0
-    softened = F.when(none_billed & F.coalesce(~F.col("lab_bill"), F.col("has_items")), "no_lab_bill").when(none_billed & F.coalesce(F.col("lab_bill"), F.lit(False)), "lab_bill_unreadable").when(F.col("unnamed") > 0, "unidentified_billed_lines")
-    doubt = F.when(F.col("unknown") > 0, "unidentified_orders").when((F.col("n_ordered") == 0) & F.coalesce(F.col("investigations"), F.lit(False)), "orders_unreadable").when((F.col("n_ordered") == 0) & F.col("investigations").isNull(), "orders_unconfirmed")
-    facts = facts.select("scan_id", "n_billed", softened.alias("softened"), doubt.alias("doubt"))
+    softened = _no_bill().when(F.col("unnamed") > 0, "unidentified_billed_lines")
+    facts = facts.select("scan_id", "n_billed", softened.alias("softened"), _doubt().alias("doubt"))
     detail = lambda c: F.when(c.isNotNull(), F.to_json(F.struct(c.alias("softened_code"))))
     soft = lambda c: F.when(c.isNull(), "critical").otherwise("warning")
     unknown = ordered.where("name IS NULL")
