@@ -91,7 +91,7 @@ def warning_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three readings of each bill, of which the second misspells and the third drops lines."""
-    lines = bill_items(spark, sf_dir).select(F.col("scan_id").alias("doc_id"), "ordinal", F.concat_ws(" ", "drug_name", "raw_text", F.col("quantity").cast("string")).alias("raw_text"))
+    lines = view(spark, sf_dir, BILL_ITEMS, ("scan_id", "ordinal", "drug_name", "raw_text", "quantity")).select(F.col("scan_id").alias("doc_id"), "ordinal", F.concat_ws(" ", "drug_name", "raw_text", F.col("quantity").cast("string")).alias("raw_text"))
     spelt = lines.withColumn("raw_text", F.regexp_replace("raw_text", "o", "0"))
     runs = [df.withColumn("run", F.lit(k)) for k, df in enumerate((lines, spelt, lines.where("ordinal % 4 <> 3")))]
     return consensus.kept_lines(consensus.align(runs[0].union(runs[1]).union(runs[2])), 3)
