@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.groups import whole_groups
 from claimloom.session import laid_out
 
 DEFAULT_ALLOWANCE = "12000.00"
@@ -118,6 +124,63 @@ def _earlier_of_number(wide: DataFrame, keyed: DataFrame) -> DataFrame:
     return placed.select("scan_id", F.col("first.scan_id").alias("prior"), F.col("first.created_on").alias("at"), F.lit("number").alias("method"), "n")
 
 
+def _places(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Days (the least for none), ids and shops of a number's scans, and the names of the shops."""
+    day = pc.fill_null(pc.cast(rows.column("created_on").combine_chunks(), pa.int32()), -(2**31)).to_numpy()
+    shop = rows.column("pharmacy").combine_chunks().dictionary_encode()
+    return day, rows.column("scan_id").to_numpy(), shop.indices.to_numpy(), shop.dictionary.to_pylist()
+
+
+def _earlier_of_alike(keyed: DataFrame, pharmacies: DataFrame) -> DataFrame:
+    """`_earlier_of_number` over all shops of alike names, with one row for each scan: the earliest of them all and how many there are.
+
+    A number's scans come together once, with the names that are alike beside them, once for each shop that has the number, so scans
+    aren't dealt out again for every name like theirs.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "no"):
+            number = table.column("no").combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), table.num_rows]
+            is_scan = table.column("alike").is_null()
+            found = []
+            for a, z in zip(cuts, cuts[1:]):
+                rows = table.slice(a, z - a)
+                held = rows.filter(is_scan.slice(a, z - a))
+                if held.num_rows < 2:
+                    continue
+                day, scan, shop, shops = _places(held)
+                order = np.lexsort((scan, day))
+                day, scan, shop = day[order], scan[order], shop[order]
+                steps = np.concatenate([[0], np.cumsum((np.diff(day) != 0) | (np.diff(scan) != 0))])
+                by_shop = np.argsort(shop, kind="stable")
+                of = {name: x for name, x in zip(shops, np.split(by_shop, np.cumsum(np.bincount(shop))[:-1]))}
+                names = rows.filter(pc.invert(is_scan.slice(a, z - a)))
+                for name, others in zip(names.column("pharmacy").to_pylist(), names.column("alike").to_pylist()):
+                    asked, met = of.get(name), [of[x] for x in others if x in of]
+                    if asked is None or not met:
+                        continue
+                    at = np.sort(np.concatenate(met))
+                    n = np.searchsorted(steps[at], steps[asked])
+                    first = at[0]
+                    found.append((scan[asked[n > 0]], n[n > 0], scan[first], day[first]))
+            if found:
+                sizes = [len(x[0]) for x in found]
+                days = np.repeat(np.array([x[3] for x in found], np.int32), sizes)
+                yield from pa.table({
+                    "scan_id": np.concatenate([x[0] for x in found]), "prior": np.repeat(np.array([x[2] for x in found], np.int64), sizes),
+                    "at": pa.array(days, mask=days == -(2**31)).cast(pa.date32()), "n": np.concatenate([x[1] for x in found]).astype(np.int64),
+                }).to_batches()
+
+    scans = keyed.where("pharmacy IS NOT NULL").select("no", "pharmacy", "created_on", "scan_id")
+    alike = pharmacies.groupBy(F.col("name").alias("pharmacy")).agg(F.collect_list("other").alias("alike"))
+    names = scans.select("no", "pharmacy").distinct().join(alike, "pharmacy").select("no", "pharmacy", F.lit(None).cast("date").alias("created_on"), F.lit(None).cast("long").alias("scan_id"), "alike")
+    every = scans.withColumn("alike", F.lit(None).cast("array<string>")).union(names)
+    # By a hash of the number, so that a shuffle of its own brings both together.
+    dealt = every.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("no")).sortWithinPartitions("no")
+    return dealt.mapInArrow(each, "scan_id long, prior long, at date, n long").select("scan_id", "prior", "at", F.lit("number").alias("method"), "n")
+
+
 def resubmissions(scans: DataFrame, lines: DataFrame, *, pharmacies: DataFrame | None = None, least_overlap: float = 0.80) -> DataFrame:
     """(scan_id, rule_code, prior_scan_id, method, others, changed): the earliest other bill that this one repeats, and what changed since.
 
@@ -129,7 +192,8 @@ def resubmissions(scans: DataFrame, lines: DataFrame, *, pharmacies: DataFrame |
     keyed = scans.select("scan_id", "created_on", "bill_date", "claimed_amount", F.lower(F.trim("pharmacy_name")).alias("pharmacy"), fold(F.col("bill_no")).alias("no"))
     wide = keyed.withColumn("shop", F.col("pharmacy")) if pharmacies is None else keyed.join(pharmacies.select(F.col("name").alias("pharmacy"), F.col("other").alias("shop")), "pharmacy")
     earlier = lambda a, b: F.struct(F.col(f"{b}.created_on"), F.col(f"{b}.scan_id")) < F.struct(F.col(f"{a}.created_on"), F.col(f"{a}.scan_id"))
-    by_number = laid_out(_earlier_of_number(wide.where("no <> ''"), keyed.where("no <> ''")))
+    numbered = keyed.where("no <> ''")
+    by_number = laid_out(_earlier_of_number(wide.where("no <> ''"), numbered) if pharmacies is None else _earlier_of_alike(numbered, pharmacies))
     names = lines.select("scan_id", fold(F.col("drug_name")).alias("n"), "line_total").where("n <> ''")
     sets = names.groupBy("scan_id").agg(F.collect_set("n").alias("names"), F.count("*").alias("held"))
     rest = wide.join(by_number.select("scan_id").distinct(), "scan_id", "left_anti").join(sets, "scan_id").alias("a")

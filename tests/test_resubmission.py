@@ -30,3 +30,13 @@ def test_alike_shops_against_all_pairs(spark):
             want[a[0]] = (prior[0][0], len(prior) - 1)
     got = history.resubmissions(scans, lines, pharmacies=spark.createDataFrame(sorted(alike), "name string, other string"))
     assert {r.scan_id: (r.prior_scan_id, r.others) for r in got.collect()} == want and want
+
+
+def test_scans_are_not_dealt_out_for_every_alike_shop(spark):
+    n, names = 20_000, [f"shop {k}" for k in range(40)]
+    scans = spark.range(n).select(F.col("id").alias("scan_id"), F.lit(date(2024, 1, 1)).alias("created_on"), F.concat(F.lit("shop "), (F.col("id") % 40).cast("string")).alias("pharmacy"), (F.col("id") % 50).cast("string").alias("no"))
+    alike = spark.createDataFrame([(a, b) for a in names for b in names], "name string, other string")
+    found = history._earlier_of_alike(scans, alike)
+    told = found.agg(F.count("*").alias("rows"), F.sum("n").alias("met"), F.sum((F.col("prior") != F.col("scan_id") % 50).cast("int")).alias("wrong")).first()
+    assert (told.rows, told.met, told.wrong) == (n - 50, 50 * 400 * 399 // 2, 0)
+    assert "Repartition" in found._jdf.queryExecution().optimizedPlan().toString() and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
